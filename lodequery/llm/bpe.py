@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, table, utf8
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+NEVER = (1 << 60, 0)
 CACHE_PAIRS = 2_000_000
 #: Characters of text that are split into words at a time.
 CHUNK = 1 << 20
@@ -79,13 +80,16 @@ class Speculator:
 
     def merge(self, parts: list[int]) -> list[int]:
         """Exact merging: the lowest-ranked pair first, leftmost on a tie."""
-        parts = list(parts)
-        while len(parts) > 1:
-            best = min(((self.merges.get(p, (1 << 60, 0))[0], i) for i, p in enumerate(zip(parts, parts[1:], strict=False))))
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
-            parts[i : i + 2] = [self.merges[parts[i], parts[i + 1]][1]]
+        parts, get = list(parts), self.merges.get
+        ranks = [get(p, NEVER) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) is not NEVER:
+            i = ranks.index(best)
+            parts[i : i + 2] = [best[1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), NEVER)
         return parts
 
     def exact(self, word: str) -> list[int]:
