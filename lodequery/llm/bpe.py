@@ -219,7 +219,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
             rows = []
             for ids, decoded in model.encode_batch([t or "" for t in batch["text"]]):
                 n = ids.count(" ") + 1 if ids else 0
-                whole = (np.fromstring(ids, np.int32, sep=" "), decoded) if ids_out else ()
+                whole = (np.array(ids.split(), np.int32), decoded) if ids_out else ()
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(utf8(decoded)).hexdigest(), *whole))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids_out else [])])
             out.insert(0, "id", batch["id"].values)
