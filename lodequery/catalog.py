@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .operators import intervals, ranking, relations, telemetry
+
+MODULES = (relations, ranking, intervals, telemetry)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["relation_matrix"](spark, sf_dir)
+    """The closest chair to each object of each scene."""
+    return QUERIES["closest"](spark, sf_dir)
