@@ -148,7 +148,7 @@ def window_digests(found: DataFrame, window: int) -> DataFrame:
 
 def repeated_intervals(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, key, start, length): word intervals that smaller documents cover; they may overlap."""
-    every = named_segments(rows, window)
+    every = written(named_segments(rows, window))
     shared = every.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("name")
     near = written(every.join(shared, "name", "left_semi"))
     distinct = near.groupBy("name", "digest", "windows").agg(F.min(F.struct("id", "key", "start")).alias("first"))
