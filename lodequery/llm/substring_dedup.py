@@ -34,7 +34,8 @@ from .fingerprints import MULTIPLIER, mixed
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 50, 6
-HEAVY, SHARD_WORDS = 1_000, 300_000
+SHARD_WORDS = 300_000
+HEAVY = SHARD_WORDS // (2 * WINDOW - 1)  # distinct segments of one name that still fit one shard
 LAST = 2**63 - 1
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
 
