@@ -131,7 +131,7 @@ def test_stream_equals_replay(spark, tmp_path):
     stream = streams.associated(spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{tmp_path}/in"))
     query = stream.writeStream.format("memory").queryName("tracked").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = {(r.scan, r.index): (r.category, r.seen) for r in spark.table("tracked").orderBy("seen").collect()}
+    got = {(r.scan, r["index"]): (r.category, r.seen) for r in spark.table("tracked").orderBy("seen").collect()}
     tracker = streams.Tracker([], 0.8, 0.2)
     for _, frame, c, x, y, z in sorted((r for r in rows if r[0] == 1), key=lambda r: (r[1], *r[2:])):
         tracker.add(frame, c, x, y, z)
