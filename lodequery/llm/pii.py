@@ -211,8 +211,13 @@ def listed(spans: list[Span]) -> str:
 
 def fit(docs: DataFrame, id_col: str, text_col: str, most: int = SAMPLE_DOCS) -> np.ndarray:
     """Potentials from at most ``most`` documents with digits or an @, those first in a hash order of the ids."""
-    some = docs.filter(F.col(text_col).rlike(r"[0-9]{2}|@")).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.length(text_col).alias("n"))
-    sample = some.filter(F.col("n") <= SAMPLE_CHARS).orderBy("h", "n").limit(most)
+    seen = docs.filter(F.col(text_col).rlike(r"[0-9]{2}|@") & (F.length(text_col) <= SAMPLE_CHARS))
+    hashed = F.xxhash64(F.col(id_col).cast("string"))
+    # the hashes alone are ordered; texts move only for those under the limit found
+    last = seen.select(hashed.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([])
+    sample = seen.select(F.col(text_col).alias("text"), hashed.alias("h")).filter(F.col("h") <= last).orderBy("h", "text").limit(most)
     return train([r["text"] for r in sample.toLocalIterator()])
 
 
