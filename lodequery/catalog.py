@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import estimates, intervals, matching, ranking, relations, sampling, telemetry, verify
+from .operators import choices, estimates, intervals, matching, ranking, relations, sampling, telemetry, verify
 from .plans import resolution
 
-MODULES = (relations, ranking, resolution, intervals, telemetry, sampling, estimates, matching, verify)
+MODULES = (relations, ranking, resolution, intervals, telemetry, sampling, estimates, matching, choices, verify)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 
