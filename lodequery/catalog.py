@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import checks, choices, estimates, intervals, matching, ranking, rays, relations, sampling, telemetry, verify
+from .operators import checks, choices, clusters, encoding, estimates, intervals, matching, ranking, rays, relations, sampling, series, telemetry, verify
 from .plans import resolution
 
-MODULES = (relations, ranking, resolution, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays)
+MODULES = (relations, ranking, resolution, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays, series, encoding, clusters)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 

@@ -151,7 +151,7 @@ def partners(commands: DataFrame, scenes: DataFrame, key: str, revision: str) ->
 
 
 def q_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("part"), (F.col("p_size") % 4).cast("bigint").alias("revision"))
+    part = read(spark, sf_dir, "part").select(F.expr("if(p_partkey % 7 = 0, -1 - p_partkey, p_partkey)").alias("part"), (F.col("p_size") % 4).cast("bigint").alias("revision"))
     used = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), (F.col("l_linenumber") % 4).cast("bigint").alias("revision"))
     return partners(used, part, "part", "revision").select("l_orderkey", "l_linenumber", "code", "severity")
 
@@ -212,7 +212,7 @@ SQL = {
                CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'disagreeing' ELSE 'consistent' END AS label_status FROM lineitem GROUP BY 1
     """,
     "cross_records": """
-        WITH p AS (SELECT p_partkey AS part, p_size % 4 AS revision FROM part WHERE p_partkey % 7 <> 0)
+        WITH p AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN -1 - p_partkey ELSE p_partkey END AS part, p_size % 4 AS revision FROM part)
         SELECT l_orderkey, l_linenumber, CASE WHEN part IS NULL THEN 'scene_missing' ELSE 'wrong_revision' END AS code, CASE WHEN part IS NULL THEN 'warning' ELSE 'error' END AS severity
         FROM lineitem LEFT JOIN p ON part = l_partkey WHERE part IS NULL OR revision <> l_linenumber % 4
     """,

@@ -119,7 +119,7 @@ def smallest_container(points: DataFrame, boxes: DataFrame, keys: list[str]) ->
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     x, y = F.col("l_quantity") * 4, F.col("l_tax") * 1000
-    return items.filter("l_orderkey % 20 = 0").select((F.col("l_orderkey") % 400).alias("image"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), F.round(F.col("l_extendedprice") / 1e5, 6).alias("score"), x.alias("x_min"), y.alias("y_min"), (x + 60).alias("x_max"), (y + 40).alias("y_max"))
+    return items.select(F.floor(F.col("l_orderkey") / 10).alias("image"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), F.round(F.col("l_extendedprice") / 1e5, 6).alias("score"), x.alias("x_min"), y.alias("y_min"), (x + 60).alias("x_max"), (y + 40).alias("y_max"))
 
 
 def q_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
