@@ -149,21 +149,24 @@ def turned_box(x: np.ndarray, z: np.ndarray, trim: float = 0.03) -> tuple[int, f
 
 
 def fitted_boxes(points: DataFrame, keys: list[str], most: int = 4096) -> DataFrame:
-    """(keys, n, turn, length, width): the upright box around each object's points, after thinning to voxels.
+    """(keys, n, turn, length, width): the upright box around each object's points.
 
-    Thinned points number at most ``most`` for an object: its voxel is the smallest of 1, 2, 4... cm whose bounding volume has no more cells.
+    An object of more than ``most`` points is thinned first, to one point for each cell of the smallest grid of 1, 2, 4... cm
+    that covers it in no more than ``most`` cells; so a task never holds more points of an object than that.
     """
     bounds = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[(F.max(s) - F.min(s)).alias(f"_{s}") for s in "xz"])
     sides = F.greatest("_x", "_z")
     voxel = F.greatest(F.lit(0.01), 0.01 * F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(sides / (np.sqrt(most) - 2) / 0.01, F.lit(1.0))))))
-    kept = points.join(bounds.select(*keys, "n", voxel.alias("_v")), keys).groupBy(*keys, "n", F.floor(F.col("x") / F.col("_v")), F.floor(F.col("z") / F.col("_v"))).agg(F.min(F.struct("x", "z")).alias("p"))
+    sized = points.join(bounds.select(*keys, "n", F.when(F.col("n") > most, voxel).alias("_v")), keys)
+    few = sized.filter("_v is null").select(*keys, "n", "x", "z")
+    many = sized.filter("_v is not null").groupBy(*keys, "n", F.floor(F.col("x") / F.col("_v")), F.floor(F.col("z") / F.col("_v"))).agg(F.min(F.struct("x", "z")).alias("p")).select(*keys, "n", "p.x", "p.z")
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         turn, length, width = turned_box(pdf["x"].to_numpy(), pdf["z"].to_numpy())
         return pd.DataFrame([(*key, int(pdf["n"].iloc[0]), turn, length, width)])
 
     types = ", ".join(f"{k} {dict(points.dtypes)[k]}" for k in keys)
-    return kept.select(*keys, "n", "p.x", "p.z").groupBy(*keys).applyInPandas(fit, f"{types}, n bigint, turn int, length double, width double")
+    return few.unionByName(many).groupBy(*keys).applyInPandas(fit, f"{types}, n bigint, turn int, length double, width double")
 
 
 def thinned(points: DataFrame, keys: list[str], voxel: float) -> DataFrame:

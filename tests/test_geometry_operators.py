@@ -35,10 +35,14 @@ def test_fitted_box_finds_the_turn(spark):
         c, s = np.cos(np.radians(turn)), np.sin(np.radians(turn))
         sides[box] = [high - low for low, high in (rays.trimmed(u, 0.03), rays.trimmed(w, 0.03))]
         rows += [(box, float(a * c + b * s), float(-a * s + b * c)) for a, b in zip(u, w)]
-    got = {r.box: r for r in rays.fitted_boxes(spark.createDataFrame(rows, "box int, x double, z double"), ["box"]).collect()}
+    points = spark.createDataFrame(rows, "box int, x double, z double")
+    got = {r.box: r for r in rays.fitted_boxes(points, ["box"]).collect()}
     for box, turn in enumerate((0, 17, 45, 80)):
         assert got[box].n == 400 and abs(got[box].turn - turn) <= 1
-        assert abs(got[box].length - sides[box][0]) < 0.05 and abs(got[box].width - sides[box][1]) < 0.05
+        assert np.allclose([got[box].length, got[box].width], sides[box], atol=0.05)
+    thin = {r.box: r for r in rays.fitted_boxes(points, ["box"], most=144).collect()}
+    for box, turn in enumerate((0, 17, 45, 80)):
+        assert thin[box].n == 400 and abs(thin[box].turn - turn) <= 5 and np.allclose([thin[box].length, thin[box].width], sides[box], atol=0.32)
     single = rays.fitted_boxes(spark.createDataFrame([(1, 2.0, 3.0)] * 3, "box int, x double, z double"), ["box"]).first()
     assert (single.n, single.turn, single.length, single.width) == (3, 0, rays.LEAST_SIDE, rays.LEAST_SIDE)
 
