@@ -60,16 +60,16 @@ def exclusive_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame
     return held.select(*keys, F.col("_n").alias("n"), *[F.when(F.col("_n") > 1, part(i)).alias(f"q{i}") for i in (1, 2, 3)])
 
 
-def best_lag(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """(keys, lag, spread): the lag of 0 to LAGS rows at which the differences of value and its delayed partner vary least (quartile range), the smaller on ties."""
-    early = samples.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(LAGS))).alias("lag"), F.col(order).alias("_o"), F.col("k").cast("double").alias("_x")).withColumn("_o", F.col("_o") + F.col("lag"))
+def best_lag(samples: DataFrame, keys: list[str], order: str, value: str, delayed: str) -> DataFrame:
+    """(keys, lag, spread): the lag of 0 to LAGS rows at which the differences of value and the delayed column vary least (quartile range), the smaller on ties."""
+    early = samples.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(LAGS))).alias("lag"), F.col(order).alias("_o"), F.col(delayed).cast("double").alias("_x")).withColumn("_o", F.col("_o") + F.col("lag"))
     gaps = samples.select(*keys, F.col(order).alias("_o"), F.col(value).alias("_y")).join(early, [*keys, "_o"]).withColumn("_d", F.col("_y") - F.col("_x"))
     spread = exclusive_quartiles(gaps, [*keys, "lag"], "_d").filter("n > 1").withColumn("spread", F.round(F.col("q3") - F.col("q1"), 6))
     return spread.groupBy(*keys).agg(F.min(F.struct("spread", "lag")).alias("s")).select(*keys, "s.lag", "s.spread")
 
 
 def packed(items: DataFrame, keys: list[str], order: list[str], cost: str, budget: float) -> DataFrame:
-    """Adds slice: items in order fill a slice until the next would pass the budget; one dearer than the budget has its own.
+    """Adds slice: items in order fill a slice until the next would pass the budget; one dearer than the budget has its own; a null cost is zero.
 
     A key's items come sorted to one task, which keeps only the running slice and sum, so a key may be of any length.
     """
@@ -79,6 +79,7 @@ def packed(items: DataFrame, keys: list[str], order: list[str], cost: str, budge
         for b in batches:
             out = []
             for *key, price in b[[*keys, cost]].itertuples(index=False):
+                price = 0 if pd.isna(price) else price
                 if key != current:
                     current, number, total = key, 0, 0.0
                 elif total + price > budget:
@@ -124,7 +125,7 @@ def q_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_lag(log(spark, sf_dir), ["session"], "seq", "value")
+    return best_lag(log(spark, sf_dir), ["session"], "seq", "value", "k")
 
 
 def q_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
