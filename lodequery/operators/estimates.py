@@ -11,6 +11,9 @@ from ..binding import OUTCOMES, outcomes
 
 OUTCOME_NAMES = ("F", "O", "P", "X")  # X never occurs: bins are filled with zero
 
+#: Draws of at most so many rows (12 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 def ratio(hits: Column, total: Column) -> Column:
     return F.round(F.try_divide(hits.cast("double"), total), 9)
@@ -58,7 +61,9 @@ def bootstrap(df: DataFrame, cluster: str, value: str, replicates: int = 500, se
     """Percentile interval of the mean under cluster resampling; rows are summed by cluster before they meet the draws."""
     sums = df.groupBy(F.col(cluster).cast("int").alias("cluster")).agg(F.sum(value).alias("up"), F.count(F.lit(1)).alias("down"))
     clusters = sorted(r["cluster"] for r in sums.select("cluster").collect())
-    means = sums.join(F.broadcast(draws(df.sparkSession, clusters, replicates, seed)), "cluster").groupBy("replicate").agg((F.sum(F.col("up") * F.col("times")) / F.sum(F.col("down") * F.col("times"))).alias("mean"))
+    table = draws(df.sparkSession, clusters, replicates, seed)
+    small = len(clusters) * replicates <= BROADCAST_ROWS
+    means = sums.join(F.broadcast(table) if small else table, "cluster").groupBy("replicate").agg((F.sum(F.col("up") * F.col("times")) / F.sum(F.col("down") * F.col("times"))).alias("mean"))
     tail = (1000 - level_per_mille) // 2
     place = lambda per_mille: -(-per_mille * replicates // 1000)
     ordered = means.withColumn("k", F.row_number().over(Window.orderBy("mean")))  # one row for each replicate
