@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import audits, checks, choices, clusters, encoding, estimates, intervals, matching, ranking, rays, relations, sampling, series, summaries, telemetry, verify
-from .plans import resolution
+from .plans import commands, resolution
 
-MODULES = (relations, ranking, resolution, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays, series, encoding, clusters, summaries, audits)
+MODULES = (relations, ranking, resolution, commands, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays, series, encoding, clusters, summaries, audits)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..binding import OBJECTS, objects
@@ -12,7 +12,7 @@ RANK_TIE = 0.05
 SUBSET_LIMIT = 12  # at most 2**12 memberships are tried for one anchor; beyond, the answer is budget_exceeded
 
 
-def ranked(candidates: DataFrame, keys: list[str], k: int = 1, farthest: bool = False, tie: float = RANK_TIE) -> DataFrame:
+def ranked(candidates: DataFrame, keys: list[str], k: int | Column = 1, farthest: bool = False, tie: float = RANK_TIE) -> DataFrame:
     """For each group: status and the ids tied at position k. Input: keys, candidate_id, distance_m.
 
     Successive distances at most ``tie`` apart belong to one island; the island that holds position k is the answer:
@@ -33,7 +33,7 @@ def ranked(candidates: DataFrame, keys: list[str], k: int = 1, farthest: bool =
     return found.select(*keys, status.alias("status"), F.when(F.col("unknown"), F.array().cast("array<bigint>")).otherwise(F.col("ids")).alias("object_ids"))
 
 
-def ranked_uncertain(candidates: DataFrame, keys: list[str], k: int = 1, farthest: bool = False) -> DataFrame:
+def ranked_uncertain(candidates: DataFrame, keys: list[str], k: int | Column = 1, farthest: bool = False) -> DataFrame:
     """As ``ranked``, where rows with ``possible`` may or may not be members: every membership must give one answer.
 
     Groups with more than SUBSET_LIMIT possible members are reported as budget_exceeded; nothing is left out.
