@@ -11,7 +11,7 @@
    A shard holds ``SHARD_WORDS`` words on average. A name with more than ``HEAVY`` distinct segments does not
    enter a shard: its windows are compared by 128-bit digests in a grouped minimum, which is as exact and knows
    no hot task.
-4. Intervals go back to their documents.
+4. Intervals go back to their documents, and to every place where the segment's smallest document repeats it.
 
 Edge cases: null is the empty text; fewer than 50 words hold no window and nothing is removed. A null id
 is larger than all others. Rows that share an id do not remove each other's words. Repeats inside one document
@@ -122,7 +122,7 @@ def words_of(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 
 def shard_matches(shard: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Intervals of the segments of one shard that are covered by segments of smaller documents."""
+    """(name, id, key, first, start, length): intervals of the segments of one shard that smaller documents cover; first is the segment's place."""
     words = [np.frombuffer(w, np.uint64) for w in shard["words"]]
     owners = shard["id"].to_numpy(np.int64)
     segment, offset = FMIndex(words, owners).covered(owners, shard["windows"].to_numpy(np.int64), window)
@@ -130,11 +130,11 @@ def shard_matches(shard: pd.DataFrame, window: int) -> pd.DataFrame:
     first = np.flatnonzero(fresh)
     count = np.diff(np.append(first, len(segment)))
     rows = shard.iloc[segment[first]]
-    return pd.DataFrame({"id": rows["id"].to_numpy(), "key": rows["key"].to_numpy(), "start": (rows["start"].to_numpy() + offset[first]).astype(np.int32), "length": (count + window - 1).astype(np.int32)})
+    return pd.DataFrame({"name": rows["name"].to_numpy(), "id": rows["id"].to_numpy(), "key": rows["key"].to_numpy(), "first": rows["start"].to_numpy(), "start": (rows["start"].to_numpy() + offset[first]).astype(np.int32), "length": (count + window - 1).astype(np.int32)})
 
 
 def window_digests(found: DataFrame, window: int) -> DataFrame:
-    """(low, high, id, key, start): 128 bits of digest of each window of each segment."""
+    """(low, high, name, id, key, first, start): 128 bits of digest of each window of each segment; first is the segment's place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,9 +142,9 @@ def window_digests(found: DataFrame, window: int) -> DataFrame:
                 hashes = np.frombuffer(r.words, np.uint64)
                 at = np.arange(r.windows)
                 low, high = range_digests(hashes, at, at + window), range_digests(mixed(hashes), at, at + window)
-                yield pd.DataFrame({"low": low.astype(np.int64), "high": high.astype(np.int64), "id": r.id, "key": r.key, "start": (r.start + at).astype(np.int32)})
+                yield pd.DataFrame({"low": low.astype(np.int64), "high": high.astype(np.int64), "name": r.name, "id": r.id, "key": r.key, "first": r.start, "start": (r.start + at).astype(np.int32)})
 
-    return map_batches(found, run, "low bigint, high bigint, id bigint, key bigint, start int")
+    return map_batches(found, run, "low bigint, high bigint, name bigint, id bigint, key bigint, first int, start int")
 
 
 def repeated_intervals(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -155,20 +155,25 @@ def repeated_intervals(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     distinct = near.groupBy("name", "digest", "windows").agg(F.min(F.struct("id", "key", "start")).alias("first"))
     counts = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("distinct_segments")).filter("distinct_segments > 1")
     distinct = written(distinct.join(counts, "name", "left").select("name", "digest", "windows", "first", F.col("distinct_segments")))
-    copies = near.join(distinct.select("name", "digest", "windows", F.col("first.id").alias("first_id")), ["name", "digest", "windows"]).filter("id > first_id")
-    whole = copies.select("id", "key", "start", (F.col("windows") + F.lit(window - 1)).alias("length"))
+    # every other place of a segment: in a larger document it goes whole; where the smallest document repeats it, it fares as the first
+    placed = near.join(distinct.select("name", "digest", "windows", "first"), ["name", "digest", "windows"]).filter("id > first.id or key <> first.key or start <> first.start")
+    placed = written(placed.select("name", "id", "key", "start", "windows", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.start").alias("first")))
+    whole = placed.filter("id > first_id").select("id", "key", "start", (F.col("windows") + F.lit(window - 1)).alias("length"))
 
     wanted = distinct.filter("distinct_segments > 1").select("name", (F.col("distinct_segments") > HEAVY).alias("heavy"), "first.id", "first.key", "first.start", "windows")
     found = written(words_of(rows, wanted, window).dropDuplicates(["name", "id", "key", "start"]))
     total = found.filter("not heavy").agg(F.sum(F.col("windows") + F.lit(window - 1))).first()[0] or 0
     shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
     dealt = found.filter("not heavy").withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)))
-    matched = dealt.groupBy("shard").applyInPandas(lambda shard: shard_matches(shard, window), "id bigint, key bigint, start int, length int")
+    matched = dealt.groupBy("shard").applyInPandas(lambda shard: shard_matches(shard, window), "name bigint, id bigint, key bigint, first int, start int, length int")
 
     windows = written(window_digests(found.filter("heavy"), window))
     earliest = windows.groupBy("low", "high").agg(F.min("id").alias("first_id"))
-    heavy = windows.join(earliest, ["low", "high"]).filter("id > first_id").select("id", "key", "start", F.lit(window).alias("length"))
-    return whole.unionByName(matched).unionByName(heavy)
+    heavy = windows.join(earliest, ["low", "high"]).filter("id > first_id").select("name", "id", "key", "first", "start", F.lit(window).alias("length"))
+    hits = written(matched.unionByName(heavy))
+    again = placed.filter("id = first_id").select("name", "id", F.col("first_key").alias("key"), "first", F.col("key").alias("own_key"), F.col("start").alias("place")).distinct()
+    repeated = hits.join(again, ["name", "id", "key", "first"]).select("id", F.col("own_key").alias("key"), (F.col("start") - F.col("first") + F.col("place")).alias("start"), "length")
+    return whole.unionByName(hits.select("id", "key", "start", "length")).unionByName(repeated)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

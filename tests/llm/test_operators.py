@@ -287,6 +287,16 @@ def test_substrings(docs, rows, empty, heavy, monkeypatch):
         assert substring_dedup.drop_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1000, 1])
+def test_substrings_repeated_in_one_document(spark, heavy, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+    menu = " ".join(f"m{i}" for i in range(58))
+    own = [(1, "a " * 60), (2, "a " * 200), (3, f"{menu} tail"), (4, f"x {menu} y {menu} z {menu}"), (4, f"q {menu} y {menu}"), (5, "a " * 300), (None, "b " * 70), (6, "b " * 55)]
+    got = substring_dedup.drop_repeats(spark.createDataFrame(own, "doc_id bigint, text string"))
+    assert bag(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(own)
+    assert {r.n_removed for r in got.filter("doc_id = 2").collect()} == {200}
+
+
 def test_fm_index_against_search():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 3, rng.integers(5, 40)).astype(np.uint64) for _ in range(30)]
