@@ -74,9 +74,3 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iter
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes; null is empty, and what cannot be encoded becomes a question mark as in the JVM."""
     return b"" if text is None else text.encode("utf-8", "replace")
-
-
-def keep_rows(docs: DataFrame, winners: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is in ``winners`` (unique ids; null equals null), by one shuffle of the rows."""
-    ids = winners.select(F.col(id_col).alias("_winner"))
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_winner"]), "left_semi")

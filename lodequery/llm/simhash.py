@@ -24,10 +24,10 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, keep_rows, map_batches, table, utf8
+from .common import durable, map_batches, table, utf8
 from .components import connected_components
 
 SEED = 42
@@ -60,15 +60,21 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(pieces), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """id and fp (the fingerprint as a signed long)."""
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, digests: bool = False) -> DataFrame:
+    """id and fp (the fingerprint as a signed long); with ``digests`` also the text's SHA-256."""
+    extra = ["sha"] if digests else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.array([fingerprint(t, width) for t in batch["text"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"id": batch["id"], "fp": prints})
+            yield batch[["id", *extra]].assign(fp=prints)[["id", "fp", *extra]]
 
-    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as text"), run, "id bigint, fp bigint")
+    read = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *[text_digest(text_col).alias(c) for c in extra])
+    return map_batches(read, run, "id bigint, fp bigint" + "".join(f", {c} binary" for c in extra))
 
 
 def grid_entries(prints: DataFrame) -> DataFrame:
@@ -105,22 +111,31 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """One row for each row of ``docs``: id, fp, fingerprint (hex), component_id (smallest id reachable)."""
-    rows = durable(fingerprints(docs, id_col, text_col, width))
+def rooted(docs: DataFrame, id_col: str, text_col: str, width: int = 3, digests: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: the columns of ``fingerprints``, component_id (smallest id reachable) and root, which names the component."""
+    rows = durable(fingerprints(docs, id_col, text_col, width, digests))
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(links(prints.select("fp")))
     owned = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = durable(owned.join(least, "root").select("fp", "component_id"))
-    return rows.join(labelled, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    return rows.join(durable(owned.join(least, "root").select("fp", "component_id", "root")), "fp")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """One row for each row of ``docs``: id, fp, fingerprint (hex), component_id (smallest id reachable)."""
+    return rooted(docs, id_col, text_col, width).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component stays: that with the smallest id, all columns. Of rows that repeat that id, one stays."""
-    winners = near_groups(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = keep_rows(docs, winners, id_col)
-    one = Window.partitionBy(id_col).orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)], text_col)
+    """One row of each component stays, all columns: that with the smallest id (null only if all are), whatever ids other components have.
+
+    Of texts of one component that share that id the one of the smallest digest stays; of rows that repeat it, the first by the other columns.
+    """
+    least = rooted(docs, id_col, text_col, digests=True).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    winners = least.groupBy("root").agg(F.min(F.struct("sha", "id")).alias("won")).select(F.col("won.id").alias("_id"), F.col("won.sha").alias("_sha"))
+    keyed = docs.withColumn("_digest", text_digest(text_col))
+    kept = keyed.join(winners, keyed[id_col].eqNullSafe(winners["_id"]) & (keyed["_digest"] == winners["_sha"]), "left_semi")
+    one = Window.partitionBy(id_col, "_digest").orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)], text_col)
     return kept.withColumn("_repeat", F.row_number().over(one)).filter("_repeat = 1").select(*docs.columns)
 
 

@@ -96,6 +96,21 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_one_row_of_each_near_component(spark):
+    rng = random.Random(8)
+    make = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(80))
+    texts = [make() for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(None, texts[0]), (7, texts[6]), (7, texts[7]), (7, texts[7]), (3, texts[7]), (None, texts[8]), (9, texts[8])]
+    prints = [brute_simhash(t) for _, t in rows]
+    label = closure(set(prints))
+    least = {}
+    for (i, t), p in zip(rows, prints):
+        least.setdefault(label[p], []).append((i is None, i or 0, t))
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter(label[brute_simhash(r.text)] for r in kept) == Counter(set(label.values()))
+    assert all((r.doc_id is None, r.doc_id or 0) == min(least[label[brute_simhash(r.text)]])[:2] for r in kept)
+
+
 def test_grid_links_find_every_pair(spark):
     rng = random.Random(3)
     prints = {rng.getrandbits(64) for _ in range(60)} | {0, 2**64 - 1}
