@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ OUTCOME_NAMES = ("F", "O", "P", "X")  # X never occurs: bins are filled with zer
 
 #: Draws of at most so many rows (12 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of draws that a task hands on at a time.
+PART_ROWS = 50_000
 
 
 def ratio(hits: Column, total: Column) -> Column:
@@ -46,18 +51,26 @@ def weighted(sampled: DataFrame, frame: DataFrame, value: str) -> DataFrame:
 
 
 def draws(spark: SparkSession, clusters: list, replicates: int, seed: int) -> DataFrame:
-    """(replicate, cluster, times) of paired cluster draws; the clusters are few and the table is replicates x clusters at most."""
-    source, rows = random.Random(seed), []
-    for replicate in range(replicates):
-        times: dict = {}
-        for _ in clusters:
-            picked = source.choice(clusters)
-            times[picked] = times.get(picked, 0) + 1
-        rows += [(replicate, c, n) for c, n in times.items()]
-    return spark.createDataFrame(rows, "replicate int, cluster int, times int")
-
-
-def bootstrap(df: DataFrame, cluster: str, value: str, replicates: int = 500, seed: int = 20261010, level_per_mille: int = 950) -> DataFrame:
+    """(replicate, cluster, times) of paired cluster draws; the table is replicates x clusters at most.
+
+    One generator runs through all replicates, so a task makes them in order, outside the driver, and holds one at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            source, parts, size = random.Random(seed), [], 0
+            for replicate in range(replicates):
+                times = Counter(source.choice(clusters) for _ in clusters)
+                parts.append(pd.DataFrame({"replicate": replicate, "cluster": list(times), "times": list(times.values())}))
+                size += len(times)
+                if size >= PART_ROWS or replicate == replicates - 1:
+                    yield pd.concat(parts)
+                    parts, size = [], 0
+
+    return spark.range(1, numPartitions=1).mapInPandas(run, "replicate int, cluster int, times int")
+
+
+def bootstrap(df: DataFrame, cluster: str, value: str, replicates: int = 10_000, seed: int = 20261010, level_per_mille: int = 950) -> DataFrame:
     """Percentile interval of the mean under cluster resampling; rows are summed by cluster before they meet the draws."""
     sums = df.groupBy(F.col(cluster).cast("int").alias("cluster")).agg(F.sum(value).alias("up"), F.count(F.lit(1)).alias("down"))
     clusters = sorted(r["cluster"] for r in sums.select("cluster").collect())

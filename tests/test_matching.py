@@ -1,7 +1,9 @@
 """Greedy pairs, box suppression and the bootstrap against their definitions."""
 
 import random
+from collections import defaultdict
 
+from lodequery.binding import outcomes
 from lodequery.operators import estimates, matching
 
 
@@ -48,3 +50,16 @@ def test_bootstrap(spark, monkeypatch):
     assert tuple(estimates.bootstrap(df, "c", "y", 100, 5).first()) == want
     monkeypatch.setattr(estimates, "BROADCAST_ROWS", 0)
     assert tuple(estimates.bootstrap(df, "c", "y", 100, 5).first()) == want
+
+
+def test_registered_bootstrap_has_the_reference_replicates(spark, sf_dir):
+    per = defaultdict(list)
+    for r in outcomes(spark, sf_dir).select("environment", "first").collect():
+        per[r.environment].append(r.first)
+    names, source, means = sorted(per), random.Random(20261010), []
+    sums = {e: (sum(v), len(v)) for e, v in per.items()}
+    for _ in range(10_000):
+        picked = [sums[names[source.randrange(len(names))]] for _ in names]
+        means.append(sum(u for u, _ in picked) / sum(n for _, n in picked))
+    means.sort()
+    assert tuple(estimates.q_bootstrap(spark, sf_dir).first()) == (round(means[249], 9), round(means[9749], 9), 10_000)
