@@ -1,8 +1,11 @@
 """URL filters: allow and block rules, and for the rest a path-template tree judged by smoothed labelled purity.
 
-The tree: the path segments of a host form a tree. Level by level, a segment position under a node becomes a
-wildcard if it holds many values of little support each (``MANY`` or more values with fewer than ``SUPPORT``
-rows each on average), on its host or at the same place over all hosts. Sibling branches whose shares of blocked pages do not differ significantly (a
+The tree: the path segments of a host form a tree. Level by level, a segment position under a node is variable if it
+holds ``MANY`` or more rare values, of fewer than ``SUPPORT`` rows each; its rare values become a wildcard and the others
+stay literal branches. A host with fewer than ``MANY * SUPPORT`` rows there and no such position of its own follows the same
+place over all hosts, by the counts over all hosts. Rows whose node has fewer than ``MANY`` rows over all hosts leave the
+descent with their further segments as they are, as nothing below can be variable; the rest goes down to the
+deepest path. Sibling branches whose shares of blocked pages do not differ significantly (a
 two-proportion test between neighbours in order of share) are merged.
 
 Labels are the verdicts of the rules, on the pages that some rule fits. The purity of a merged template is its share of
@@ -13,19 +16,20 @@ Counts are aggregated before they move, so a host with a third of all pages cost
 nodes; a page finds its node by a join with the table of wildcard nodes, whose size is checked.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, a node of its own. Rows that repeat
-a page_id each get a row. Segments after the first ``DEPTH - 1`` count as one segment, whole. An empty table gives an
-empty result. Extra columns of the input are not read.
+a page_id each get a row. An empty table gives an empty result. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, durable, join_small, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-MANY, SUPPORT, DEPTH, PRIOR, Z = 8, 4, 6, 5.0, 1.96
+MANY, SUPPORT, PRIOR, Z = 8, 4, 5.0, 1.96
 
 
 def parsed(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
@@ -47,20 +51,41 @@ def by_rules(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """Adds template: the path with variable segments as wildcards."""
-    grown = rows.withColumn("segments", F.split("path", "/", DEPTH + 1)).withColumn("node", F.lit("")).withColumn("parent", F.lit(""))
-    deepest = rows.select(F.max(F.size(F.split("path", "/", DEPTH + 1)))).first()[0] or 1
-    for level in range(1, deepest):
+    """Adds template, the path with variable segments as wildcards, and parent, the template without its last segment."""
+    active = durable(rows.withColumn("segments", F.split("path", "/", -1)).withColumn("node", F.lit("")))
+    level, done = 1, []
+    while True:
+        done.append(active.filter(F.size("segments") <= level))
+        going = active.filter(F.size("segments") > level)
+        crowded = durable(going.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MANY).select("node", F.lit(True).alias("crowded")))
+        marked = join_small(going, crowded, ["node"], "left")
+        rest = F.concat_ws("/", "node", F.array_join(F.slice("segments", level + 1, F.size("segments")), "/"))
+        done.append(marked.filter("crowded is null").withColumn("node", rest).drop("crowded"))
+        if not crowded.limit(1).count():
+            break
         segment = F.get("segments", F.lit(level))
-        counts = grown.filter(segment.isNotNull()).groupBy("host", "node", segment.alias("segment")).agg(F.count(F.lit(1)).alias("n"))
-        counts = durable(counts)
-        for keys in (["host", "node"], ["node"]):  # variable on this host, or at the same place over all hosts
-            values = counts.groupBy(*keys, "segment").agg(F.sum("n").alias("n"))
-            many = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n")).filter((F.col("values") >= MANY) & (F.col("n") < SUPPORT * F.col("values")))
-            grown = join_small(grown, durable(many.select(*keys, F.lit(True).alias(f"wild_{len(keys)}"))), keys, "left")
-        step = F.concat("node", F.lit("/"), F.when(F.col("wild_1") | F.col("wild_2"), F.lit("*")).otherwise(segment))
-        grown = durable(grown.withColumn("parent", F.when(segment.isNotNull(), F.col("node")).otherwise(F.col("parent"))).withColumn("node", F.when(segment.isNotNull(), step).otherwise(F.col("node"))).drop("wild_1", "wild_2"))
-    return grown.drop("segments").withColumnRenamed("node", "template")
+        counts = durable(going.join(crowded, "node", "left_semi").groupBy("host", "node", segment.alias("segment")).agg(F.count(F.lit(1)).alias("n")))
+        total = counts.groupBy("node", "segment").agg(F.sum("n").alias("n"))
+        rare = F.count_if(F.col("n") < SUPPORT) >= MANY
+        # a host decides by itself if it has a variable position or rows enough to show that it has none
+        own = counts.groupBy("host", "node").agg(rare.alias("own"), F.sum("n").alias("rows")).filter(F.col("own") | (F.col("rows") >= MANY * SUPPORT)).drop("rows")
+        common = total.groupBy("node").agg(rare.alias("common")).filter("common")
+        known = marked.filter("crowded").drop("crowded").withColumn("segment", segment)
+        if not own.filter("own").select("node").unionByName(common.select("node")).limit(1).count():
+            active = durable(known.withColumn("node", F.concat_ws("/", "node", "segment")).select(*active.columns))
+            level += 1
+            continue
+        literal = F.col("n") >= SUPPORT
+        own_literal = counts.filter(literal).join(own.filter("own"), ["host", "node"], "left_semi").select("host", "node", "segment", F.lit(True).alias("own_literal"))
+        common_literal = total.filter(literal).join(common, "node", "left_semi").select("node", "segment", F.lit(True).alias("common_literal"))
+        for side, keys in ((own, ["host", "node"]), (common, ["node"]), (own_literal, ["host", "node", "segment"]), (common_literal, ["node", "segment"])):
+            known = join_small(known, side, keys, "left")
+        wild = F.when(F.col("own").isNotNull(), F.col("own") & F.col("own_literal").isNull()).otherwise(F.col("common").isNotNull() & F.col("common_literal").isNull())
+        node = F.concat("node", F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("segment")))
+        active = durable(known.withColumn("node", node).select(*active.columns))
+        level += 1
+    every = durable(reduce(DataFrame.unionByName, [part.select(*active.columns) for part in done]))
+    return every.drop("segments").withColumnRenamed("node", "template").withColumn("parent", F.regexp_replace("template", r"/[^/]*\z", ""))
 
 
 def judged(rows: DataFrame) -> DataFrame:

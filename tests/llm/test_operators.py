@@ -265,6 +265,26 @@ def test_url_filter(spark, empty):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_frequent_and_deep_segments(spark):
+    paths = [("h.com", f"/es/{i % 2}") for i in range(40)] + [("h.com", f"/slug{i}") for i in range(60)]
+    paths += [(f"s{i}.com", ("/es", f"/only{i}")[i % 2]) for i in range(40)]  # hosts of one row follow the place over all hosts
+    paths += [("big.com", f"/slug{i % 3}") for i in range(40)]  # rows enough to decide that it is not variable
+    paths += [("deep.com", f"/a/b/c/d/e/{i}/end") for i in range(20)] + [("lone.com", "/x/y//z/1/2/3/4/"), ("lone.com", ""), ("lone.com", "/")]
+    rows = spark.createDataFrame([(i, h, p) for i, (h, p) in enumerate(paths)], "id bigint, host string, path string")
+    out = url_filter.templates(rows).collect()
+    got = {(r.host, r.path): (r.parent, r.template) for r in out}
+    assert len(out) == len(paths) and set(got) == set(paths)
+    for (host, path), (parent, template) in got.items():
+        want = path
+        if host == "h.com" and "slug" in path or "only" in path:
+            want = "/*"
+        if host == "lone.com" and path:  # a rare value of a small host
+            want = "/*" + path[2:]
+        if host == "deep.com":
+            want = "/a/b/c/d/e/*/end"
+        assert (template, parent) == (want, want.rpartition("/")[0]), (host, path)
+
+
 def test_purity_by_hand(spark):
     rows = [("h", "", "/a", 1)] * 30 + [("h", "", "/a", 0)] * 2 + [("h", "", "/b", 1)] * 10 + [("h", "", "/c", 0)] * 40 + [("g", "", "/d", None)]
     got = {(r.host, r.template): r for r in url_filter.judged(spark.createDataFrame(rows, "host string, parent string, template string, label int")).collect()}
