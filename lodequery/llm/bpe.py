@@ -5,17 +5,23 @@ neighbours, merged on their own, stay as they are. Words that are new to a worke
 in one go; all adjacent pairs of them are tested at once against the sorted table of known pairs
 (pairs not met before are merged exactly, once); only words with a failing pair are merged exactly.
 
+Text is composed, lower-cased and cut into words as the file's own normaliser and splitter do. For the characters of
+``COMMON``, on which all Unicode versions agree, that is done here; a text with any other character is normalised by
+the file's normaliser, and the file's splitter is asked once, for each new character of a worker, whether it is a letter, a
+number, a space or none of these.
+
 Edge cases: null is the empty text, which has no tokens; the hash is then that of the empty string.
-The strings of special tokens in a text give their ids. Any length of text is processed whole; the
-word cache of a worker is emptied when it holds ``CACHE_WORDS``. Extra columns of the input are not read.
+The strings of special tokens in a text give their ids. Any length of text or word is processed whole: long words
+are merged with a heap, in n log n steps. The word cache of a worker is emptied when its words hold ``CACHE_CHARS``
+characters. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +29,13 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from .common import map_batches, table, utf8
 
-CACHE_WORDS = 600_000
+CACHE_CHARS = 6_000_000
+#: Words of more symbols than this are merged with a heap.
+LONG = 48
 NEVER = (1 << 60, 0)
 CACHE_PAIRS = 2_000_000
 #: Characters of text that are split into words at a time.
@@ -34,6 +43,40 @@ CHUNK = 1 << 20
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_ASCII = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 WORD = regex.compile(rf"{CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+")
+#: Composed, with the same class and lower case in every version: Latin, punctuation, Cyrillic, kana, ideographs, Hangul syllables.
+COMMON = "\x20-\x7e\t\n\r\xa1-\u0233\u2010-\u2027\u2030-\u205e\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+UNCOMMON = re.compile(f"[^{COMMON}]")
+#: What a character stands for while words are cut, by its class: a letter of no contraction, a number, a space, a sign.
+STAND_IN = {"letter": "é", "number": "1", "space": " ", "sign": "#"}
+
+
+class Characters:
+    """Normalisation and character classes of a tokenizers file."""
+
+    def __init__(self, path: str) -> None:
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.met: set[str] = set()
+        self.stand_in: dict[int, str] = {}
+
+    def kind(self, character: str) -> str:
+        """How the file's splitter treats a character, seen from the pieces of an a followed by it twice."""
+        pieces = self.splitter.pre_tokenize_str(f"a{character}{character}")
+        if len(pieces) == 1:
+            return "letter" if len(pieces[0][0]) > 1 else "space"
+        return "number" if len(pieces) == 3 else "sign"
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, normalised."""
+        if text.isascii() and not UNCOMMON.search(text):
+            return WORD_ASCII.findall(text.lower())
+        if not UNCOMMON.search(text):
+            return WORD.findall(text.lower())
+        plain = self.normalizer.normalize_str(text)
+        for c in set(plain) - self.met:
+            self.met.add(c)
+            self.stand_in[ord(c)] = c if c.isascii() and c.isprintable() else STAND_IN[self.kind(c)]
+        return [plain[m.start() : m.end()] for m in WORD.finditer(plain.translate(self.stand_in))]
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,7 +100,12 @@ class Speculator:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.longest = max(len(t) for t in self.vocab)
+        self.reach: dict[str, int] = {}  # length of the longest token that starts with two letters
+        for token in self.vocab:
+            self.reach[token[:2]] = max(self.reach.get(token[:2], 0), len(token))
         self.letters = byte_letters()
+        self.characters = Characters(path)
+        self.held = 0
         self.splitter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.stable: dict[int, bool] = {}
         self.pairs, self.fit = np.empty(0, np.int64), np.empty(0, bool)
@@ -80,6 +128,8 @@ class Speculator:
 
     def merge(self, parts: list[int]) -> list[int]:
         """Exact merging: the lowest-ranked pair first, leftmost on a tie."""
+        if len(parts) > LONG:
+            return self.merge_long(parts)
         parts, get = list(parts), self.merges.get
         ranks = [get(p, NEVER) for p in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) is not NEVER:
@@ -92,6 +142,27 @@ class Speculator:
                 ranks[i] = get((parts[i], parts[i + 1]), NEVER)
         return parts
 
+    def merge_long(self, parts: list[int]) -> list[int]:
+        """The same for many symbols: a linked list, and a heap of candidate pairs of which outdated ones are skipped."""
+        parts, get, n = list(parts), self.merges.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], i, parts[i], parts[i + 1], found[1]) for i in range(n - 1) if (found := get((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right, merged = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= n or parts[j] != right:
+                continue
+            parts[i], parts[j] = merged, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (found := get((merged, parts[k]))) is not None:
+                    heapq.heappush(heap, (found[0], i, merged, parts[k], found[1]))
+            if (h := before[i]) >= 0 and (found := get((parts[h], merged))) is not None:
+                heapq.heappush(heap, (found[0], h, parts[h], merged, found[1]))
+        return [p for p in parts if p >= 0]
+
     def exact(self, word: str) -> list[int]:
         return self.merge([self.vocab[x] for x in self.symbols(word) if x in self.vocab])
 
@@ -103,7 +174,8 @@ class Speculator:
             if at < last and last - at <= self.longest and (whole := self.vocab.get(text[at:])) is not None:
                 out.append(whole)
                 break
-            for end in range(min(last, at + self.longest), at, -1):
+            reach = self.reach.get(text[at : at + 2], 1)
+            for end in range(min(last, at + reach), at, -1):
                 if (found := self.vocab.get(text[at:end])) is not None:
                     break
             else:
@@ -160,10 +232,7 @@ class Speculator:
 
     def words(self, text: str) -> list[str]:
         """The words of one stretch of text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            return WORD.findall(text)
-        return WORD_ASCII.findall(text.lower())
+        return self.characters.words(text)
 
     def pieces(self, text: str) -> list[tuple[str | None, list[str]]]:
         """(special token or None, words) of each stretch of a text."""
@@ -181,10 +250,14 @@ class Speculator:
                 last += 1
             split = [self.pieces(t) for t in texts[first:last]]
             seen = {w for pieces in split for _, words in pieces for w in words}
-            if len(self.ids) + len(seen) > CACHE_WORDS:
+            new = [w for w in seen if w not in self.ids]
+            self.held += sum(map(len, new))
+            if self.held > CACHE_CHARS:
                 self.ids.clear()
                 self.tokens.clear()
-            self.learn([w for w in seen if w not in self.ids])
+                new = list(seen)
+                self.held = sum(map(len, new))
+            self.learn(new)
             for pieces in split:
                 ids, tokens = [], []
                 for special, words in pieces:
