@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, hot_keys, join_unique
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
@@ -13,17 +13,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Every round hooks a node and its present root to the smallest root among its neighbours, then
     jumps to the root's root, so long chains halve. The lineage is cut by a checkpoint each round.
-    An empty table gives an empty result; a self-link is a component of one.
+    Nodes of many links and roots of many nodes are joined by broadcast, the rest by shuffle. An empty table gives an
+    empty result; a self-link is a component of one.
     """
     both = durable(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
     labels = durable(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"))
+    hubs = hot_keys(both, ["y"])
     for _ in range(most_rounds):
-        far = both.join(labels.select(F.col("node").alias("y"), F.col("root").alias("far")), "y").groupBy("x").agg(F.min("far").alias("far"))
+        others = labels.select(F.col("node").alias("y"), F.col("root").alias("far"))
+        met = both.join(others, "y") if hubs is None else join_unique(both, others, ["y"], hot=hubs)
+        far = met.groupBy("x").agg(F.min("far").alias("far"))
         seen = labels.join(far, labels["node"] == far["x"]).select("node", "root", F.least("root", "far").alias("low"))
-        hooks = seen.select("node", "low").unionByName(seen.select(F.col("root").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
+        hooks = durable(seen.select("node", "low").unionByName(seen.select(F.col("root").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low")))
         jump = hooks.select(F.col("node").alias("low"), F.col("low").alias("lower"))
         # a root is a node itself, so it has a hook
-        moved = hooks.join(jump, "low").select("node", F.least("low", "lower").alias("root"))
+        moved = join_unique(hooks, jump, ["low"]).select("node", F.least("low", "lower").alias("root"))
         after = durable(moved)
         changed = after.join(labels.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
         labels = after

@@ -13,7 +13,8 @@ group are made, and nothing grows with the square of a group.
 Edge cases: null is the empty text; a text without words has fingerprint zero and links like any
 other; with fewer words than a shingle the whole word sequence is the one shingle. Rows that repeat
 an id each get a row. Null ids are ignored in the minimum (a component of only null ids has a null
-component_id). An empty table gives an empty result. Extra columns of the input are not read.
+component_id). An empty table gives an empty result. The fingerprint of a third of all rows and the root of a large
+component are joined by broadcast (``join_unique``), all others by shuffle. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, table, utf8
+from .common import durable, join_unique, map_batches, name, one_row_each, table, utf8
 from .components import connected_components
 
 SEED = 42
@@ -61,7 +62,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def text_digest(text_col: str) -> Column:
-    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return F.unhex(F.sha2(F.coalesce(F.col(name(text_col)), F.lit("")), 256))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, digests: bool = False) -> DataFrame:
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(t, width) for t in batch["text"]], np.uint64).astype(np.int64)
             yield batch[["id", *extra]].assign(fp=prints)[["id", "fp", *extra]]
 
-    read = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *[text_digest(text_col).alias(c) for c in extra])
+    read = docs.select(F.col(name(id_col)).cast("bigint").alias("id"), F.col(name(text_col)).alias("text"), *[text_digest(text_col).alias(c) for c in extra])
     return map_batches(read, run, "id bigint, fp bigint" + "".join(f", {c} binary" for c in extra))
 
 
@@ -94,10 +95,10 @@ def grid_entries(prints: DataFrame) -> DataFrame:
     return prints.withColumn("own", own).select("fp", F.explode(F.array_compact(F.array(*cells))).alias("entry")).select("fp", "entry.step", "entry.cell")
 
 
-def links(prints: DataFrame, distance: int = 2) -> DataFrame:
+def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that tie each fingerprint to the smallest one with which it shares a pattern; a < b.
 
-    The closure of these links is the closure of all pairs at ``distance`` (2) or fewer differing bits.
+    The closure of these links is the closure of all pairs at two or fewer differing bits, and of no other distance.
     """
     entries = grid_entries(prints)
     crowded = entries.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("cell")
@@ -108,17 +109,17 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     reached = F.when(F.col("step") < 0, F.array("fp")).otherwise(F.array_compact(F.array(*flips)))
     stars = near.select("fp", F.explode(reached).alias("pattern")).groupBy("pattern").agg(F.collect_list("fp").alias("members")).filter("size(members) > 1")
     pairs = stars.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a < b")
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).distinct()
+    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
 def rooted(docs: DataFrame, id_col: str, text_col: str, width: int = 3, digests: bool = False) -> DataFrame:
     """One row for each row of ``docs``: the columns of ``fingerprints``, component_id (smallest id reachable) and root, which names the component."""
     rows = durable(fingerprints(docs, id_col, text_col, width, digests))
-    prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    prints = durable(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(links(prints.select("fp")))
-    owned = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    owned = durable(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(durable(owned.join(least, "root").select("fp", "component_id", "root")), "fp")
+    return join_unique(rows, join_unique(owned, least, ["root"]).select("fp", "component_id", "root"), ["fp"])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -132,11 +133,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of texts of one component that share that id the one of the smallest digest stays; of rows that repeat it, the first by the other columns.
     """
     least = rooted(docs, id_col, text_col, digests=True).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    winners = least.groupBy("root").agg(F.min(F.struct("sha", "id")).alias("won")).select(F.col("won.id").alias("_id"), F.col("won.sha").alias("_sha"))
-    keyed = docs.withColumn("_digest", text_digest(text_col))
-    kept = keyed.join(winners, keyed[id_col].eqNullSafe(winners["_id"]) & (keyed["_digest"] == winners["_sha"]), "left_semi")
-    one = Window.partitionBy(id_col, "_digest").orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)], text_col)
-    return kept.withColumn("_repeat", F.row_number().over(one)).filter("_repeat = 1").select(*docs.columns)
+    winners = least.groupBy("root").agg(F.min(F.struct("sha", "id")).alias("won")).select("won.id", F.lower(F.hex("won.sha")).alias("digest"))
+    return one_row_each(docs, id_col, text_col, F.sha2(F.coalesce(F.col(name(text_col)), F.lit("")), 256), winners)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
