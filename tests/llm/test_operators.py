@@ -160,14 +160,61 @@ def test_pii(docs, rows, empty):
     assert pii.find(empty).count() == 0
 
 
-def test_field_ties_repeated_mentions():
-    texts = ["call +1 (583) 555-8469 now", "token 839756 and 12345678 x", "card 4111 1111 1111 1111 is", "at 99887766 there"] * 20
-    weights = pii.train(texts)
-    text = "+1 583 555 8469 was called; 1 583 555 8469 again, and 55443322 is no number"
-    assert pii.added_spans(text, pii.base_spans(text), weights) == [("phone", 28, 42)]
-    assert pii.added_spans("nothing 55443322 here", [], weights) == []
-    lone, tied = np.array([[0.0, -3.0], [0.0, 9.0]]), [(0, 1, 4.0)]
-    assert pii.marginals(lone, [])[0].argmax() == 0 and pii.marginals(lone, tied)[0].argmax() == 1
+PERSONAL = ["call +1 (583) 555-{0:04d} now", "mail bo.{0}@mail.example.com or not", "card 4111 1111 1111 1111 is", "host 10.2.{0}.9 there", "at 99{0:06d} there", 'token = "a{0:04d}24be64439e3e49cf46b2d7c90f3602a3d0b"']
+
+
+@pytest.fixture(scope="module")
+def field():
+    model = pii.Field()
+    model.train([PERSONAL[i % len(PERSONAL)].format(i % 250) + f" word{i % 17} and others" for i in range(600)])
+    return model
+
+
+def test_masked_mentions_are_found(field):
+    held = [PERSONAL[i % len(PERSONAL)].format(i % 250) + f" word{i % 13} more" for i in range(600, 1000)]
+    counts = pii.measure(held, field)
+    assert counts["hits"] > 0.9 * (counts["hits"] + counts["missed"]) > 50 and counts["wrong"] <= 0.05 * counts["hits"]
+
+
+def test_field_adds_what_patterns_miss(field):
+    added = lambda text: [(k, text[a:b]) for k, a, b in pii.added_spans([text], [pii.base_spans(text)], field, pii.Tokens())[0]]
+    assert added("mail jo.smith at example dot com or jo.smith@example.com") == [("email", "jo.smith at example dot com")]
+    assert added("+1 583 555 8469 was called; then (583) 555-8469, again") == [("phone", "(583) 555-8469")]
+    assert added('its token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" ends') == [("secret", "f33e61083db5dbdf4bd2369d2f80176e57f7fda2")]
+    assert added("nothing 55443322 here, 4316522678525457 neither, in 2024-05-12") == [] and added("") == []
+    assert pii.added_spans(["(583) 555-8469"], [[]], pii.Field(), pii.Tokens()) == [[]]
+
+
+def test_tied_mentions_share_their_label(field):
+    odd, unsure = "ref 583/5558469 x", pii.Graph(pii.Tokens())
+    unsure.add(0, odd, [])
+    tied, text = pii.Graph(pii.Tokens()), "+1 583 555 8469 " + "word " * 300 + odd + " word" * 200 + " +1 583 555 8469"
+    tied.add(0, text, pii.base_spans(text))
+    alone, together = field.marginals(unsure), field.marginals(tied)
+    place = next(i for i, (_, a, b) in enumerate(tied.places) if text[a:b] == "583/5558469")
+    own = next(i for i, (_, a, b) in enumerate(unsure.places) if odd[a:b] == "583/5558469")
+    assert together[place, pii.ORDER["phone"]] > alone[own, pii.ORDER["phone"]]
+    assert any(place in edge for edge in tied.edges["similar"])
+
+
+@pytest.mark.parametrize("cycle", [False, True])
+def test_messages_against_enumeration(cycle):
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n, k, scale = 5, 3, 0.4 if cycle else 2.0
+        unary = rng.normal(0, 1, (n, k))
+        chain = np.array([(i, i + 1) for i in range(n - 1)] + ([(0, 4)] if cycle else []))
+        pair, skip = rng.normal(0, scale, (k, k)), rng.normal(0, scale, (k, k))
+        want = np.zeros((n, k))
+        for y in itertools.product(range(k), repeat=n):
+            mass = math.exp(sum(unary[i, y[i]] for i in range(n)) + sum((pair if j < 3 else skip)[y[a], y[b]] for j, (a, b) in enumerate(chain)))
+            for i in range(n):
+                want[i, y[i]] += mass
+        want /= want.sum(axis=1, keepdims=True)
+        got = pii.sum_product(unary, [(chain[:3], pair), (chain[3:], skip)])
+        assert np.allclose(got, want, atol=0.03 if cycle else 1e-6)
 
 
 def test_fingerprints(docs, rows, empty):
