@@ -52,17 +52,62 @@ def test_toxicity(spark, docs, rows, empty):
     assert np.mean([got[i].predicted == labels[i][2] for i in held]) > 0.97
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
     clean = toxicity.drop_toxic(data, marks)
-    assert clean.columns == data.columns and {r.doc_id for r in clean.collect()} == {i for i in got if not got[i].predicted}
+    assert clean.columns == data.columns and {r.doc_id for r in clean.collect()} == {i for i in got if not got[i].flagged}
+    assert network.by_lang and np.mean([got[i].flagged == labels[i][2] for i in held]) > 0.97
     assert toxicity.judge(docs, network).count() == len(rows)
     assert toxicity.judge(empty, network).count() == 0
     assert {r.score for r in toxicity.judge(docs, toxicity.fit(docs, marks.limit(0))).collect()} == {0.0}
 
 
-def test_long_text_pieces_agree():
-    network = toxicity.Network()
-    network.trained = True
-    reader, text = network.reader(), " ".join(f"w{i % 97} x{i % 89}" for i in range(500))
-    assert reader.output(text, piece=64) == pytest.approx(reader.output(text))
+def test_labels_keep_their_share_if_ids_repeat(spark):
+    texts = [(1, f"calm {i}") for i in range(600)] + [(2, f"nasty {i}") for i in range(600)] + [(3, "x" * 30_000)]
+    data, marks = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id bigint, toxic int")
+    open_ = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = Counter(toxicity.sample(data, marks, "doc_id", "text", 50)["toxic"])
+    assert got == Counter({label: 100 for i, label in ((1, 0), (2, 1)) if i in open_})
+
+
+def test_pooling_against_plain_windows():
+    network, rng = toxicity.Network(2), random.Random(4)
+    network.shift += 0.01
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n)) for n in (1, 2, 3, 50, 7, 0, 120)] + [None]
+    want = []
+    for text in texts:
+        own = [network.embed[list(toxicity.buckets_of(w))].sum(axis=0) for w in (text or "").split()]
+        tops = []
+        for _, width, first in network.slices():
+            for f in range(toxicity.FILTERS):
+                sums = [sum(own[i + k] @ network.filters[:, first[k] + f] for k in range(width)) for i in range(len(own) - width + 1)]
+                tops.append(max(0.0, max(sums, default=-1.0) + network.shift[len(tops)]) if sums else 0.0)
+        want.append(np.dot(tops, network.out) + network.bias)
+    for piece, most in ((1 << 16, 1 << 17), (16, 20), (5, 1)):
+        assert network.reader().outputs(texts, piece, most) == pytest.approx(np.array(want), abs=1e-5)
+
+
+def test_gradients_against_differences():
+    network, rng = toxicity.Network(3), np.random.default_rng(5)
+    for part in ("embed", "filters", "shift", "out"):
+        setattr(network, part, getattr(network, part).astype(np.float64))
+    network.embed = rng.normal(0, 0.5, (40, toxicity.DIM))
+    table_of = rng.integers(0, 40, (12, 3))
+    docs, labels, weight = [rng.integers(0, 12, n) for n in (1, 5, 9)], np.array([1.0, 0.0, 1.0]), np.array([0.5, 1.0, 2.0])
+
+    def loss():
+        z = np.array([network.pooled(network.embed[table_of[d]].sum(axis=1) @ network.filters)[0] @ network.out + network.bias for d in docs])
+        return float((weight * (np.logaddexp(0, z) - labels * z)).sum())
+
+    own = network.gradients(docs, labels, weight, table_of)
+    dense = np.zeros_like(network.embed)
+    dense[own["rows"]] = own["embed"]
+    for part, gradient in (("embed", dense), ("filters", own["filters"]), ("shift", own["shift"]), ("out", own["out"])):
+        values = getattr(network, part)
+        for place in [tuple(rng.integers(0, n) for n in values.shape) for _ in range(25)]:
+            before = values[place]
+            values[place] = before + 1e-4
+            up = loss()
+            values[place] = before - 1e-4
+            assert gradient[place] == pytest.approx((up - loss()) / 2e-4, abs=2e-3)
+            values[place] = before
 
 
 def brute_simhash(text):
