@@ -29,9 +29,10 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_batches, table, utf8
+from .common import map_with_id, name, table, utf8
 
 CACHE_CHARS = 6_000_000
 #: Words of more symbols than this are merged with a heap.
@@ -298,8 +299,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
             out.insert(0, "id", batch["id"].values)
             yield out
 
-    schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids_out else "")
-    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as text"), run, schema).withColumnRenamed("id", id_col)
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids_out else "")
+    return map_with_id(docs.select(F.col(name(id_col)).cast("bigint").alias("id"), F.col(name(text_col)).alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

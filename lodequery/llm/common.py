@@ -144,6 +144,15 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iter
     return df.mapInPandas(function, schema)
 
 
+def map_with_id(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``map_batches`` for rows whose ``id`` (a bigint) may be null: it travels as a string, as a column of numbers with nulls would lose digits.
+
+    ``schema`` lists the columns after ``id``, which the function passes on as it is.
+    """
+    out = map_batches(df.withColumn("id", F.col("id").cast("string")), function, f"id string, {schema}")
+    return out.withColumn("id", F.col("id").cast("bigint"))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's limit on the rows of an Arrow batch to what a worker can hold; a lower one stays."""
     option = "spark.sql.execution.arrow.maxRecordsPerBatch"

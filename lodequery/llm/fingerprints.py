@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, utf8
+from .common import map_with_id, name, table, utf8
 
 WIDTH, BINS, BITS = 5, 256, 8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +119,7 @@ def with_guests(rows: DataFrame, ranges: int) -> DataFrame:
     spark = rows.sparkSession
     shares = [i / ranges for i in range(1, ranges)]
     found = rows.select("id").approxQuantile("id", shares, 0.2 / ranges) if shares else []
-    dealt = rows.withColumn("part", part_of("id", sorted({int(x) for x in found}, reverse=True)))
+    dealt = rows.withColumn("part", part_of("id", sorted({min(int(x), 2**63 - 1) for x in found}, reverse=True)))
     heads = [(r["part"], r["head"]) for r in dealt.groupBy("part").agg(F.max("id").alias("head")).orderBy("part").collect()]
     if not heads:
         return dealt.select("part", F.lit(0).alias("guest"), "id", "text")
@@ -135,7 +135,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text ends in the start of the next document. Rows are shuffled once, by ranges of ids, and
     streamed in order, so a task holds two texts at a time whatever the size of its range.
     """
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"coalesce(`{text_col}`, '') as text")
+    rows = docs.select(F.col(name(id_col)).cast("bigint").alias("id"), F.coalesce(F.col(name(text_col)), F.lit("")).alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = with_guests(rows, 4 * partitions).repartition(partitions, "part")
     ordered = ranged.sortWithinPartitions("part", "guest", F.desc_nulls_last("id"), "text")
@@ -155,11 +155,10 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     new = its if edited == old else sketch(shingle_hashes(edited))
                     out.append((was, len(old), hashlib.sha256(utf8(edited)).hexdigest(), its, new, likeness(its, new), likeness(its, mark)))
                 before = None if guest else (own, text, mark)
-            frame = pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield frame.astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_batches(ordered, run, schema).withColumnRenamed("id", id_col)
+    schema = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return map_with_id(ordered, run, schema).withColumnRenamed("id", id_col)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ class FMIndex:
         least = owners[owner_at[order]]
         self.least = [least]
         width = 1
-        while 2 * width <= len(least):
+        while 2 * width <= len(order):
             least = np.minimum(least[:-width], least[width:])
             self.least.append(least)
             width *= 2

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, name, table
+from .common import map_with_id, name, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS, "secret")
@@ -486,9 +486,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             out.insert(0, "id", batch["id"].values)
             yield out
 
-    schema = "id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_secret bigint, flagged int"
+    schema = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_secret bigint, flagged int"
     rows = docs.select(F.col(name(id_col)).cast("bigint").alias("id"), F.col(name(text_col)).alias("text"))
-    return map_batches(rows, run, schema).withColumnRenamed("id", id_col)
+    return map_with_id(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, join_unique, map_batches, name, one_row_each, table, utf8
+from .common import durable, join_unique, map_with_id, name, one_row_each, table, utf8
 from .components import connected_components
 
 SEED = 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield batch[["id", *extra]].assign(fp=prints)[["id", "fp", *extra]]
 
     read = docs.select(F.col(name(id_col)).cast("bigint").alias("id"), F.col(name(text_col)).alias("text"), *[text_digest(text_col).alias(c) for c in extra])
-    return map_batches(read, run, "id bigint, fp bigint" + "".join(f", {c} binary" for c in extra))
+    return map_with_id(read, run, "fp bigint" + "".join(f", {c} binary" for c in extra))
 
 
 def grid_entries(prints: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@
    no hot task.
 4. Intervals go back to their documents, and to every place where the segment's smallest document repeats it.
 
+Words are compared by 64-bit hashes, whole segments by their name and a digest of 64 bits each, windows by 128 bits. Joins on
+names and segments broadcast the hot keys (``join_unique``).
+
 Edge cases: null is the empty text; fewer than 50 words hold no window and nothing is removed. A null id
 is larger than all others. Rows that share an id do not remove each other's words. Repeats inside one document
 are kept. An empty table gives an empty result. Extra columns of the input are not read.
@@ -26,17 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, table, utf8, written
+from .common import join_unique, map_batches, map_with_id, name, table, utf8, written
 from .fingerprints import MULTIPLIER, mixed
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 50, 6
 SHARD_WORDS = 300_000
 HEAVY = SHARD_WORDS // (2 * WINDOW - 1)  # distinct segments of one name that still fit one shard
-LAST = 2**63 - 1
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
 
 
@@ -81,32 +83,40 @@ def segments(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tupl
     return least[starts], starts, np.diff(np.append(starts, len(least)))
 
 
+#: The order of documents: null ids (lost, with id 0) come after all others.
+OWNER = ("lost", "id")
+
+
+def owner(row: str = "") -> Column:
+    return F.struct(*[F.col(f"{row}{c}") for c in OWNER])
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (null: the largest), key (of the text) and text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    """lost (whether the id is null), id (0 if null), key (of the text and lost) and text."""
+    own, text = F.col(name(id_col)).cast("bigint"), F.coalesce(F.col(name(text_col)), F.lit(""))
+    return docs.select(own.isNull().alias("lost"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(text, own.isNull()).alias("key"), text.alias("text"))
 
 
 def named_segments(rows: DataFrame, window: int) -> DataFrame:
-    """(id, key, name, start, windows, digest) of each segment of each document."""
+    """(lost, id, key, name, start, windows, digest) of each segment of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
-            for own, key, text in zip(batch["id"], batch["key"], batch["text"], strict=True):
+            for lost, own, key, text in zip(batch["lost"], batch["id"], batch["key"], batch["text"], strict=True):
                 hashes = word_hashes(utf8(text).split())
                 name, start, count = segments(hashes, window)
                 if len(name):
                     digest = range_digests(hashes, start, start + count + window - 1)
-                    parts.append(pd.DataFrame({"id": own, "key": key, "name": name.astype(np.int64), "start": start.astype(np.int32), "windows": count.astype(np.int32), "digest": digest.astype(np.int64)}))
+                    parts.append(pd.DataFrame({"lost": lost, "id": own, "key": key, "name": name.astype(np.int64), "start": start.astype(np.int32), "windows": count.astype(np.int32), "digest": digest.astype(np.int64)}))
             if parts:
                 yield pd.concat(parts)
 
-    return map_batches(rows, run, "id bigint, key bigint, name bigint, start int, windows int, digest bigint")
+    return map_batches(rows, run, "lost boolean, id bigint, key bigint, name bigint, start int, windows int, digest bigint")
 
 
 def words_of(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The word hashes of the wanted segments: (name, heavy, id, key, start, windows, words)."""
+    """The word hashes of the wanted segments: (name, heavy, lost, id, key, start, windows, words)."""
     asked = wanted.groupBy("id", "key").agg(*[F.collect_list(c).alias(c) for c in ("name", "heavy", "start", "windows")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,16 +125,17 @@ def words_of(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             for r in batch.itertuples(index=False):
                 hashes = word_hashes(utf8(r.text).split())
                 for name, heavy, start, windows in zip(r.name, r.heavy, r.start, r.windows, strict=True):
-                    out.append((name, heavy, r.id, r.key, start, windows, hashes[start : start + windows + window - 1].tobytes()))
-            yield pd.DataFrame(out, columns=["name", "heavy", "id", "key", "start", "windows", "words"])
+                    out.append((name, heavy, r.lost, r.id, r.key, start, windows, hashes[start : start + windows + window - 1].tobytes()))
+            yield pd.DataFrame(out, columns=["name", "heavy", "lost", "id", "key", "start", "windows", "words"])
 
-    return map_batches(rows.join(asked, ["id", "key"]), run, "name bigint, heavy boolean, id bigint, key bigint, start int, windows int, words binary")
+    return map_batches(rows.join(asked, ["id", "key"]), run, "name bigint, heavy boolean, lost boolean, id bigint, key bigint, start int, windows int, words binary")
 
 
 def shard_matches(shard: pd.DataFrame, window: int) -> pd.DataFrame:
     """(name, id, key, first, start, length): intervals of the segments of one shard that smaller documents cover; first is the segment's place."""
     words = [np.frombuffer(w, np.uint64) for w in shard["words"]]
-    owners = shard["id"].to_numpy(np.int64)
+    own, lost = shard["id"].to_numpy(np.int64), shard["lost"].to_numpy(bool)
+    owners = np.unique(own, return_inverse=True)[1] + lost * (len(own) + 1)  # their places in the order of documents
     segment, offset = FMIndex(words, owners).covered(owners, shard["windows"].to_numpy(np.int64), window)
     fresh = np.concatenate([[True], (np.diff(segment) != 0) | (np.diff(offset) != 1)]) if len(segment) else np.empty(0, bool)
     first = np.flatnonzero(fresh)
@@ -134,7 +145,7 @@ def shard_matches(shard: pd.DataFrame, window: int) -> pd.DataFrame:
 
 
 def window_digests(found: DataFrame, window: int) -> DataFrame:
-    """(low, high, name, id, key, first, start): 128 bits of digest of each window of each segment; first is the segment's place."""
+    """(low, high, name, lost, id, key, first, start): 128 bits of digest of each window of each segment; first is the segment's place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,25 +153,24 @@ def window_digests(found: DataFrame, window: int) -> DataFrame:
                 hashes = np.frombuffer(r.words, np.uint64)
                 at = np.arange(r.windows)
                 low, high = range_digests(hashes, at, at + window), range_digests(mixed(hashes), at, at + window)
-                yield pd.DataFrame({"low": low.astype(np.int64), "high": high.astype(np.int64), "name": r.name, "id": r.id, "key": r.key, "first": r.start, "start": (r.start + at).astype(np.int32)})
+                yield pd.DataFrame({"low": low.astype(np.int64), "high": high.astype(np.int64), "name": r.name, "lost": r.lost, "id": r.id, "key": r.key, "first": r.start, "start": (r.start + at).astype(np.int32)})
 
-    return map_batches(found, run, "low bigint, high bigint, name bigint, id bigint, key bigint, first int, start int")
+    return map_batches(found, run, "low bigint, high bigint, name bigint, lost boolean, id bigint, key bigint, first int, start int")
 
 
 def repeated_intervals(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, key, start, length): word intervals that smaller documents cover; they may overlap."""
     every = written(named_segments(rows, window))
-    shared = every.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("name")
-    near = written(every.join(shared, "name", "left_semi"))
-    distinct = near.groupBy("name", "digest", "windows").agg(F.min(F.struct("id", "key", "start")).alias("first"))
+    shared = every.groupBy("name").agg(F.min(owner()).alias("low"), F.max(owner()).alias("high")).filter("low < high").select("name")
+    near = written(join_unique(every, shared, ["name"], "left_semi"))
+    distinct = written(near.groupBy("name", "digest", "windows").agg(F.min(F.struct(*OWNER, "key", "start")).alias("first")))
     counts = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("distinct_segments")).filter("distinct_segments > 1")
-    distinct = written(distinct.join(counts, "name", "left").select("name", "digest", "windows", "first", F.col("distinct_segments")))
     # every other place of a segment: in a larger document it goes whole; where the smallest document repeats it, it fares as the first
-    placed = near.join(distinct.select("name", "digest", "windows", "first"), ["name", "digest", "windows"]).filter("id > first.id or key <> first.key or start <> first.start")
-    placed = written(placed.select("name", "id", "key", "start", "windows", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.start").alias("first")))
-    whole = placed.filter("id > first_id").select("id", "key", "start", (F.col("windows") + F.lit(window - 1)).alias("length"))
+    placed = join_unique(near, distinct, ["name", "digest", "windows"]).withColumn("later", owner() > owner("first.")).filter("later or key <> first.key or start <> first.start")
+    placed = written(placed.select("name", "id", "key", "start", "windows", "later", F.col("first.key").alias("first_key"), F.col("first.start").alias("first")))
+    whole = placed.filter("later").select("id", "key", "start", (F.col("windows") + F.lit(window - 1)).alias("length"))
 
-    wanted = distinct.filter("distinct_segments > 1").select("name", (F.col("distinct_segments") > HEAVY).alias("heavy"), "first.id", "first.key", "first.start", "windows")
+    wanted = join_unique(distinct, counts, ["name"]).select("name", (F.col("distinct_segments") > HEAVY).alias("heavy"), "first.id", "first.key", "first.start", "windows")
     found = written(words_of(rows, wanted, window).dropDuplicates(["name", "id", "key", "start"]))
     total = found.filter("not heavy").agg(F.sum(F.col("windows") + F.lit(window - 1))).first()[0] or 0
     shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
@@ -168,10 +178,10 @@ def repeated_intervals(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     matched = dealt.groupBy("shard").applyInPandas(lambda shard: shard_matches(shard, window), "name bigint, id bigint, key bigint, first int, start int, length int")
 
     windows = written(window_digests(found.filter("heavy"), window))
-    earliest = windows.groupBy("low", "high").agg(F.min("id").alias("first_id"))
-    heavy = windows.join(earliest, ["low", "high"]).filter("id > first_id").select("name", "id", "key", "first", "start", F.lit(window).alias("length"))
+    earliest = windows.groupBy("low", "high").agg(F.min(owner()).alias("earliest"))
+    heavy = join_unique(windows, earliest, ["low", "high"]).filter(owner() > F.col("earliest")).select("name", "id", "key", "first", "start", F.lit(window).alias("length"))
     hits = written(matched.unionByName(heavy))
-    again = placed.filter("id = first_id").select("name", "id", F.col("first_key").alias("key"), "first", F.col("key").alias("own_key"), F.col("start").alias("place")).distinct()
+    again = placed.filter("not later").select("name", "id", F.col("first_key").alias("key"), "first", F.col("key").alias("own_key"), F.col("start").alias("place")).distinct()
     repeated = hits.join(again, ["name", "id", "key", "first"]).select("id", F.col("own_key").alias("key"), (F.col("start") - F.col("first") + F.col("place")).alias("start"), "length")
     return whole.unionByName(hits.select("id", "key", "start", "length")).unionByName(repeated)
 
@@ -194,11 +204,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     np.add.at(edge, np.asarray(starts, np.int64) + np.asarray(lengths, np.int64), -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                 kept = b" ".join(words)
-                out.append((None if own == LAST else own, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept_sha256", "kept"]).astype({"id": "Int64"})
+                out.append((own, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    joined = rows.join(marks, ["id", "key"], "left").select("id", "text", "starts", "lengths")
-    return map_batches(joined, run, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
+    joined = rows.join(marks, ["id", "key"], "left").select(F.when(~F.col("lost"), F.col("id")).alias("id"), "text", "starts", "lengths")
+    return map_with_id(joined, run, "n_words bigint, n_removed bigint, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,3 +134,12 @@ def test_shards_get_the_quotas_of_the_tree(spark, monkeypatch):
     assert {(s, j): int(quotas[i, j]) for i, s in enumerate(keys) for j in range(6) if quotas[i, j]} == dict(counts)
     totals = quotas.sum(axis=0)
     assert totals.max() - totals.min() <= 3
+
+
+def test_large_ids_beside_null_ids(spark):
+    from lodequery.llm import fingerprints, pii, substring_dedup, toxicity
+
+    docs = spark.createDataFrame([(2**63 - 1, "one two"), (None, "three"), (2**53 + 1, "x"), (-(2**63), "y")], "doc_id bigint, text string").coalesce(1)
+    want = {2**63 - 1, None, 2**53 + 1, -(2**63)}
+    for got in (bpe.encode_decode(docs), fingerprints.fingerprint_edits(docs), pii.find(docs), simhash.near_groups(docs), substring_dedup.drop_repeats(docs), toxicity.judge(docs, toxicity.Network())):
+        assert {r.doc_id for r in got.collect()} == want

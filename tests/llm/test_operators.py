@@ -418,7 +418,7 @@ def test_substrings(docs, rows, empty, heavy, monkeypatch):
 def test_substrings_repeated_in_one_document(spark, heavy, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
     menu = " ".join(f"m{i}" for i in range(58))
-    own = [(1, "a " * 60), (2, "a " * 200), (3, f"{menu} tail"), (4, f"x {menu} y {menu} z {menu}"), (4, f"q {menu} y {menu}"), (5, "a " * 300), (None, "b " * 70), (6, "b " * 55)]
+    own = [(1, "a " * 60), (2, "a " * 200), (3, f"{menu} tail"), (4, f"x {menu} y {menu} z {menu}"), (4, f"q {menu} y {menu}"), (5, "a " * 300), (None, "b " * 70), (6, "b " * 55), (2**63 - 1, "c " * 60 + "b " * 60), (None, "c " * 60), (None, "d " * 60), (None, "d " * 61)]
     got = substring_dedup.drop_repeats(spark.createDataFrame(own, "doc_id bigint, text string"))
     assert bag(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(own)
     assert {r.n_removed for r in got.filter("doc_id = 2").collect()} == {200}
@@ -437,6 +437,13 @@ def test_fm_index_against_search():
     assert got == {(s, i) for s, p in enumerate(parts) for i in range(len(p) - 4) if min(where[tuple(p[i : i + 5])]) < owners[s]}
 
 
+def test_fm_index_of_one_word():
+    for n in range(5, 80):
+        parts = [np.full(n, 7, np.uint64), np.full(5, 7, np.uint64)]
+        segment, _ = fm_index.FMIndex(parts, np.array([1, 0])).covered(np.array([1, 0]), np.array([n - 4, 1]), 5)
+        assert segment.tolist() == [0] * (n - 4)
+
+
 def test_mixing(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
     got = mixing.mix(docs, shards=4).cache()
