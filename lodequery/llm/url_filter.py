@@ -12,8 +12,9 @@ Labels are the verdicts of the rules, on the pages that some rule fits. The puri
 blocked pages, smoothed towards that of the same template over all hosts, and that towards the share over all
 pages, with ``PRIOR`` pseudo-pages each. A template is rejected (block) if its purity is above one half.
 
-Counts are aggregated before they move, so a host with a third of all pages costs no more than its distinct
-nodes; a page finds its node by a join with the table of wildcard nodes, whose size is checked.
+The tree is built over distinct paths of a host with their numbers of rows, which are aggregated before they move; pages meet their
+verdict in one join at the end, in which hot paths are broadcast. Siblings of equal share are pooled before the
+test, so a window holds the distinct shares under a parent, not its templates.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, a node of its own. Rows that repeat
 a page_id each get a row. An empty table gives an empty result. Extra columns of the input are not read.
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, join_small, table
+from .common import ascii_lower, durable, join_small, join_unique, name, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MANY, SUPPORT, PRIOR, Z = 8, 4, 5.0, 1.96
@@ -34,9 +35,10 @@ MANY, SUPPORT, PRIOR, Z = 8, 4, 5.0, 1.96
 
 def parsed(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """id, host and path of each row."""
-    at = F.instr(F.coalesce(F.col(url_col), F.lit("")), "://")
-    rest = F.when(at > 0, F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise(F.lit(""))
-    cut = pages.select(F.col(id_col).alias("id"), rest.alias("rest")).withColumn("raw", F.regexp_extract("rest", r"\A[^/?#]*", 0))
+    url = name(url_col)
+    at = F.instr(F.coalesce(F.col(url), F.lit("")), "://")
+    rest = F.when(at > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")).otherwise(F.lit(""))
+    cut = pages.select(F.col(name(id_col)).alias("id"), rest.alias("rest")).withColumn("raw", F.regexp_extract("rest", r"\A[^/?#]*", 0))
     after = F.expr("substring(rest, length(raw) + 1)")
     return cut.select("id", ascii_lower(F.col("raw")).alias("host"), F.regexp_extract(after, r"\A[^?#]*", 0).alias("path"))
 
@@ -51,20 +53,24 @@ def by_rules(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """Adds template, the path with variable segments as wildcards, and parent, the template without its last segment."""
+    """Adds template, the path with variable segments as wildcards, and parent, the template without its last segment.
+
+    A row counts ``n`` times, or once if there is no such column.
+    """
+    rows = rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("long"))
     active = durable(rows.withColumn("segments", F.split("path", "/", -1)).withColumn("node", F.lit("")))
     level, done = 1, []
     while True:
         done.append(active.filter(F.size("segments") <= level))
         going = active.filter(F.size("segments") > level)
-        crowded = durable(going.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MANY).select("node", F.lit(True).alias("crowded")))
+        crowded = durable(going.groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= MANY).select("node", F.lit(True).alias("crowded")))
         marked = join_small(going, crowded, ["node"], "left")
         rest = F.concat_ws("/", "node", F.array_join(F.slice("segments", level + 1, F.size("segments")), "/"))
         done.append(marked.filter("crowded is null").withColumn("node", rest).drop("crowded"))
         if not crowded.limit(1).count():
             break
         segment = F.get("segments", F.lit(level))
-        counts = durable(going.join(crowded, "node", "left_semi").groupBy("host", "node", segment.alias("segment")).agg(F.count(F.lit(1)).alias("n")))
+        counts = durable(going.join(crowded, "node", "left_semi").groupBy("host", "node", segment.alias("segment")).agg(F.sum("n").alias("n")))
         total = counts.groupBy("node", "segment").agg(F.sum("n").alias("n"))
         rare = F.count_if(F.col("n") < SUPPORT) >= MANY
         # a host decides by itself if it has a variable position or rows enough to show that it has none
@@ -89,33 +95,38 @@ def templates(rows: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """(host, template, blocks): purity of each template, from rows with host, parent, template and label (1 blocked, 0 allowed, null)."""
-    leaf = rows.groupBy("host", "parent", "template").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    siblings = Window.partitionBy("host", "parent").orderBy("share", "template")
-    share = F.when(F.col("n") > 0, F.col("bad") / F.col("n"))
+    """(host, template, purity, branch) of each template, from rows with host, parent, template, label (1 blocked, 0 allowed, null) and, if they count more than once, n."""
+    weight = F.col("n") if "n" in rows.columns else F.lit(1)
+    labelled = F.when(F.col("label").isNotNull(), weight).otherwise(0)
+    leaf = rows.groupBy("host", "parent", "template").agg(F.sum(labelled).alias("n"), F.coalesce(F.sum(F.col("label") * weight), F.lit(0)).alias("bad"))
+    leaf = durable(leaf.withColumn("share", F.when(F.col("n") > 0, F.col("bad") / F.col("n"))))
+    siblings = Window.partitionBy("host", "parent").orderBy("share")
     pooled = (F.col("bad") + F.lag("bad").over(siblings)) / (F.col("n") + F.lag("n").over(siblings))
     wide = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.lag("n").over(siblings)))
     apart = F.coalesce((F.col("share") - F.lag("share").over(siblings)) > Z * wide, F.lit(False))
-    seen = leaf.filter("n > 0").withColumn("share", share).withColumn("apart", apart.cast("int"))
+    shares = leaf.filter("n > 0").groupBy("host", "parent", "share").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    seen = shares.withColumn("apart", apart.cast("int"))
     branch = seen.withColumn("branch", F.sum("apart").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("host", "parent", "branch")
-    merged = branch.select("host", "parent", "template", "branch", F.sum("n").over(whole).alias("n"), F.sum("bad").over(whole).alias("bad"))
+    merged = branch.select("host", "parent", "share", "branch", F.sum("n").over(whole).alias("n"), F.sum("bad").over(whole).alias("bad"))
     overall = leaf.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).select(F.when(F.col("n") > 0, F.col("bad") / F.col("n")).otherwise(F.lit(0.0)).alias("overall"))
     rate = overall.first()["overall"]
     across = leaf.groupBy("template").agg(((F.sum("bad") + PRIOR * F.lit(rate)) / (F.sum("n") + PRIOR)).alias("across"))
-    every = leaf.select("host", "parent", "template").join(merged, ["host", "parent", "template"], "left").join(across, "template")
+    every = join_unique(leaf.select("host", "parent", "template", "share"), merged, ["host", "parent", "share"], "left")
+    every = join_unique(every, across, ["template"])
     return every.select("host", "template", ((F.coalesce("bad", F.lit(0)) + PRIOR * F.col("across")) / (F.coalesce("n", F.lit(0)) + PRIOR)).alias("purity"), "branch")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """One row for each row of ``pages``: id, host, path, rule, verdict, template, purity."""
     rule, verdict = by_rules(rules)
-    ruled = parsed(pages, id_col, url_col).withColumn("rule", rule).withColumn("ruling", verdict)
-    rows = templates(durable(ruled)).withColumn("label", F.when(F.col("ruling").isNotNull(), (F.col("ruling") == "block").cast("int")))
-    purity = durable(judged(rows).select("host", "template", "purity"))
-    known = join_small(rows, purity, ["host", "template"])
+    rows = durable(parsed(pages, id_col, url_col))
+    ruled = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", rule).withColumn("ruling", verdict)
+    paths = templates(ruled).withColumn("label", F.when(F.col("ruling").isNotNull(), (F.col("ruling") == "block").cast("int")))
+    purity = durable(judged(paths).select("host", "template", "purity"))
     method = F.when(F.col("purity") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return known.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruling", method).alias("verdict"), "template", "purity")
+    known = join_unique(paths, purity, ["host", "template"]).select("host", "path", "rule", F.coalesce("ruling", method).alias("verdict"), "template", "purity")
+    return join_unique(rows, durable(known), ["host", "path"]).select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,3 +143,119 @@ def test_large_ids_beside_null_ids(spark):
     want = {2**63 - 1, None, 2**53 + 1, -(2**63)}
     for got in (bpe.encode_decode(docs), fingerprints.fingerprint_edits(docs), pii.find(docs), simhash.near_groups(docs), substring_dedup.drop_repeats(docs), toxicity.judge(docs, toxicity.Network())):
         assert {r.doc_id for r in got.collect()} == want
+
+
+def brute_verdicts(urls):
+    """The template tree in plain Python: verdict of each url."""
+    import math
+    import re
+
+    from lodequery.llm import url_filter as u
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for url in urls:
+        host = path = ""
+        if url and "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.match(r"[^/?#]*", rest)[0]
+            path, host = re.match(r"[^?#]*", rest[len(host) :])[0], host.translate(lower)
+        best = max((r for r in u.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])), key=lambda r: len(r[1] + r[2]), default=None)
+        rows.append([host, path, best and best[0], path.split("/"), ""])
+    open_, level = list(rows), 1
+    while open_:
+        open_ = [r for r in open_ if len(r[3]) > level]
+        size = Counter(r[4] for r in open_)
+        for r in open_:
+            if size[r[4]] < u.MANY:
+                r[4] = r[4] + "/" + "/".join(r[3][level:])
+        open_ = [r for r in open_ if size.get(r[4], 0) >= u.MANY]
+        own, total = Counter((r[0], r[4], r[3][level]) for r in open_), Counter((r[4], r[3][level]) for r in open_)
+        variable = lambda counts: sum(n < u.SUPPORT for n in counts) >= u.MANY
+        by_host, by_node = {}, {}
+        for (h, node, _), n in own.items():
+            by_host.setdefault((h, node), []).append(n)
+        for (node, _), n in total.items():
+            by_node.setdefault(node, []).append(n)
+        for r in open_:
+            h, node, segment = r[0], r[4], r[3][level]
+            counts = by_host[h, node]
+            if variable(counts) or sum(counts) >= u.MANY * u.SUPPORT:
+                wild = variable(counts) and own[h, node, segment] < u.SUPPORT
+            else:
+                wild = variable(by_node[node]) and total[node, segment] < u.SUPPORT
+            r.append(f"{node}/{'*' if wild else segment}")
+        for r in open_:
+            r[4] = r.pop()
+        level += 1
+    leaf = {}
+    for host, _, ruling, _, template in rows:
+        n, bad = leaf.get((host, template), (0, 0))
+        leaf[host, template] = (n + (ruling is not None), bad + (ruling == "block"))
+    labelled = [r for r in rows if r[2] is not None]
+    rate = sum(r[2] == "block" for r in labelled) / len(labelled) if labelled else 0.0
+    across, shares = {}, {}
+    for (host, template), (n, bad) in leaf.items():
+        m, b = across.get(template, (0, 0))
+        across[template] = (m + n, b + bad)
+        if n:
+            group = shares.setdefault((host, template.rpartition("/")[0]), {})
+            m, b = group.get(bad / n, (0, 0))
+            group[bad / n] = (m + n, b + bad)
+    merged = {}
+    for key, group in shares.items():
+        branch, last = [], None
+        for share in sorted(group):
+            n, bad = group[share]
+            if last is not None:
+                m, b = group[last]
+                pooled = (b + bad) / (m + n)
+                if share - last > u.Z * math.sqrt(pooled * (1 - pooled) * (1 / m + 1 / n)):
+                    branch = []
+            branch.append(share)
+            for s in branch:
+                merged[key, s] = branch
+            last = share
+    verdicts = []
+    for host, _, ruling, _, template in rows:
+        n, bad = leaf[host, template]
+        if n:
+            members = merged[(host, template.rpartition("/")[0]), bad / n]
+            n, bad = (sum(shares[host, template.rpartition("/")[0]][s][k] for s in members) for k in (0, 1))
+        m, b = across[template]
+        purity = (bad + u.PRIOR * (b + u.PRIOR * rate) / (m + u.PRIOR)) / (n + u.PRIOR)
+        verdicts.append((ruling or ("block" if purity > 0.5 else "allow"), template, round(purity, 9)))
+    return verdicts
+
+
+def test_url_verdicts_against_brute_force(spark):
+    from lodequery.llm import url_filter
+
+    rng = random.Random(11)
+    urls = [None, "", "x", "http://h.org", "http://h.org/"]
+    for _ in range(1500):
+        host = rng.choice(["a.com", "b.net", "c.org", "www.example.com", "example.com", "d.net", f"s{rng.randrange(90)}.org"])
+        path = "/".join(rng.choice(["es", "fr", "en", "de", str(rng.randrange(400)), f"p{rng.randrange(6)}"]) for _ in range(rng.randrange(0, 5)))
+        urls.append(f"http://{host}/{path}" + rng.choice(["", "?q", "#t", "/"]))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.verdict, r.template, round(r.purity, 9)) for r in url_filter.judge(pages).collect()}
+    assert [got[i] for i in range(len(urls))] == brute_verdicts(urls)
+
+
+def test_shards_against_plain_draws(spark):
+    import hashlib
+    import math
+    import zlib
+
+    from lodequery.llm import shards
+
+    def reach(node, key):
+        while node.children:
+            node = min(node.children, key=lambda c: (-math.log((int(hashlib.md5(f"{key}|{c.path}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / c.weight, c.path))
+        return node.shard
+
+    rows = [(i, f"text {i}é") for i in range(300)] + [(None, None), (7, "again")]
+    tree = shards.regions(16)
+    got = shards.place(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), reach(tree, "null" if i is None else i), reach(shards.grown(tree, 16), "null" if i is None else i)) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in got) == want
