@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 
 from .common import map_with_id, name, table, utf8
 
-CACHE_CHARS = 6_000_000
+CACHE_CHARS = 2_500_000
 #: Words of more symbols than this are merged with a heap.
 LONG = 48
 NEVER = (1 << 60, 0)
@@ -54,8 +54,9 @@ STAND_IN = {"letter": "é", "number": "1", "space": " ", "sign": "#"}
 class Characters:
     """Normalisation and character classes of a tokenizers file."""
 
-    def __init__(self, path: str) -> None:
-        library = Tokenizer.from_file(path)
+    def __init__(self, spec: dict) -> None:
+        bare = spec | {"model": spec["model"] | {"vocab": {}, "merges": []}, "added_tokens": []}
+        library = Tokenizer.from_str(json.dumps(bare))  # the vocabulary is read once, by the Speculator
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.met: set[str] = set()
         self.stand_in: dict[int, str] = {}
@@ -105,7 +106,7 @@ class Speculator:
         for token in self.vocab:
             self.reach[token[:2]] = max(self.reach.get(token[:2], 0), len(token))
         self.letters = byte_letters()
-        self.characters = Characters(path)
+        self.characters = Characters(spec)
         self.held = 0
         self.splitter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.stable: dict[int, bool] = {}

@@ -64,13 +64,13 @@ def templates(rows: DataFrame) -> DataFrame:
         done.append(active.filter(F.size("segments") <= level))
         going = active.filter(F.size("segments") > level)
         crowded = durable(going.groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= MANY).select("node", F.lit(True).alias("crowded")))
-        marked = join_unique(going, crowded, ["node"], "left")
+        marked = join_small(going, crowded, ["node"], "left")
         rest = F.concat_ws("/", "node", F.array_join(F.slice("segments", level + 1, F.size("segments")), "/"))
         done.append(marked.filter("crowded is null").withColumn("node", rest).drop("crowded"))
         if not crowded.limit(1).count():
             break
         segment = F.get("segments", F.lit(level))
-        counts = durable(join_unique(going, crowded, ["node"], "left_semi").groupBy("host", "node", segment.alias("segment")).agg(F.sum("n").alias("n")))
+        counts = durable(join_small(going, crowded, ["node"], "left_semi").groupBy("host", "node", segment.alias("segment")).agg(F.sum("n").alias("n")))
         total = counts.groupBy("node", "segment").agg(F.sum("n").alias("n"))
         rare = F.count_if(F.col("n") < SUPPORT) >= MANY
         # a host decides by itself if it has a variable position or rows enough to show that it has none
