@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import audits, checks, choices, clusters, encoding, estimates, evidence, intervals, matching, ranking, rays, relations, sampling, series, summaries, telemetry, turned, verify
+from .operators import audits, checks, choices, clusters, encoding, estimates, evidence, experiments, intervals, matching, ranking, rays, records, relations, sampling, sensing, series, summaries, telemetry, turned, verify
 from .plans import commands, resolution
 
-MODULES = (relations, ranking, resolution, commands, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays, series, encoding, clusters, summaries, audits, turned, evidence)
+MODULES = (relations, ranking, resolution, commands, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays, series, encoding, clusters, summaries, audits, turned, evidence, experiments, records, sensing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 

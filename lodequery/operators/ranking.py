@@ -58,29 +58,30 @@ def candidate_rows(things: DataFrame, category: str) -> DataFrame:
 
 
 def q_rank(spark: SparkSession, sf_dir: str, farthest: bool = False, k: int = 1) -> DataFrame:
-    rows = candidate_rows(objects(spark, sf_dir).filter(F.col("cx").isNotNull()), "chair")
+    rows = candidate_rows(objects(spark, sf_dir), "chair")
     return ranked(rows, ["scene_id", "anchor_id"], k, farthest).withColumn("object_ids", F.array_join("object_ids", ","))
 
 
 def q_uncertain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = candidate_rows(objects(spark, sf_dir).filter(F.col("cx").isNotNull()), "chair").withColumn("possible", (F.col("colour") == "red") & (F.col("candidate_id") % 2 == 0))
+    rows = candidate_rows(objects(spark, sf_dir), "chair").withColumn("possible", (F.col("colour") == "red") & (F.col("candidate_id") % 2 == 0))
     return ranked_uncertain(rows, ["scene_id", "anchor_id"]).withColumn("object_ids", F.array_join("object_ids", ","))
 
 
 def _rank_sql(sign: str, k: int) -> str:
     return f"""
-        WITH {OBJECTS}, known AS (SELECT * FROM objects WHERE cx IS NOT NULL), cand AS (
+        WITH {OBJECTS}, cand AS (
             SELECT a.scene_id, a.object_id AS anchor_id, t.object_id AS cid, {sign}sqrt(pow(t.cx - a.cx, 2) + pow(t.cy - a.cy, 2) + pow(t.cz - a.cz, 2)) AS d
-            FROM known a JOIN known t ON a.scene_id = t.scene_id AND a.object_id <> t.object_id AND t.category = 'chair'
+            FROM objects a JOIN objects t ON a.scene_id = t.scene_id AND a.object_id <> t.object_id AND t.category = 'chair'
         ), stepped AS (
             SELECT *, row_number() OVER w AS place, CASE WHEN d - lag(d) OVER w > 0.05 THEN 1 ELSE 0 END AS jump FROM cand WINDOW w AS (PARTITION BY scene_id, anchor_id ORDER BY d, cid)
         ), isles AS (
             SELECT *, sum(jump) OVER (PARTITION BY scene_id, anchor_id ORDER BY d, cid) AS isle FROM stepped
         ), hits AS (
-            SELECT i.scene_id, i.anchor_id, list(i.cid ORDER BY i.cid) FILTER (i.isle = p.isle) AS ids
+            SELECT i.scene_id, i.anchor_id, list(i.cid ORDER BY i.cid) FILTER (i.isle = p.isle) AS ids, bool_or(i.d IS NULL) AS unknown
             FROM isles i LEFT JOIN (SELECT scene_id, anchor_id, isle FROM isles WHERE place = {k}) p USING (scene_id, anchor_id) GROUP BY ALL
         )
-        SELECT scene_id, anchor_id, CASE len(coalesce(ids, [])) WHEN 0 THEN 'no_match' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, array_to_string(coalesce(ids, []), ',') AS object_ids FROM hits
+        SELECT scene_id, anchor_id, CASE WHEN unknown THEN 'insufficient_information' WHEN len(coalesce(ids, [])) = 0 THEN 'no_match' WHEN len(ids) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+               CASE WHEN unknown THEN '' ELSE array_to_string(coalesce(ids, []), ',') END AS object_ids FROM hits
     """
 
 
