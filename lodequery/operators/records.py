@@ -318,7 +318,7 @@ SQL = {
                concat_ws(',', nullif(g0, '_'), CASE WHEN g1 <> '_' AND g1 <> g0 THEN g1 END, CASE WHEN g2 <> '_' AND g2 <> g0 AND g2 <> g1 THEN g2 END) AS colours, CASE WHEN vec_id % 3 <> 0 THEN 3 ELSE 2 END AS groups FROM p
     """,
     "cell_issues": r"""
-        SELECT o_orderkey, 'clerk' AS "column", 'not_decimal_id' AS code FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey <> 0
+        SELECT o_orderkey, 'clerk' AS "column", 'not_decimal_id' AS code FROM orders WHERE o_orderkey % 3 = 0
         UNION ALL SELECT o_orderkey, 'priority', 'not_label' FROM orders WHERE o_orderpriority <> '' AND NOT regexp_full_match(o_orderpriority, '[A-Za-z][A-Za-z ]*')
         UNION ALL SELECT o_orderkey, 'customer', 'empty' FROM orders WHERE o_orderkey % 9 = 0
     """,
