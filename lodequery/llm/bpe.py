@@ -284,8 +284,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_out: bool = True) -> DataFrame:
-    """id, n_tokens, token ids (array, if ``ids_out``), decoded text, and digests of both."""
+def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """id, n_tokens, digests of the token ids and of the decoded text, and of these two (array, text) those that ``outputs`` names."""
     path = path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,18 +294,19 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
             rows = []
             for ids, decoded in model.encode_batch([t or "" for t in batch["text"]]):
                 n = ids.count(" ") + 1 if ids else 0
-                whole = (np.array(ids.split(), np.int32), decoded) if ids_out else ()
+                whole = [np.array(ids.split(), np.int32) if x == "ids" else decoded for x in outputs]
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(utf8(decoded)).hexdigest(), *whole))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids_out else [])])
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *outputs])
             out.insert(0, "id", batch["id"].values)
             yield out
 
-    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids_out else "")
+    types = {"ids": "array<int>", "decoded": "string"}
+    schema = ", ".join(["n_tokens bigint, ids_sha256 string, decoded_sha256 string", *[f"{x} {types[x]}" for x in outputs]])
     return map_with_id(docs.select(F.col(name(id_col)).cast("bigint").alias("id"), F.col(name(text_col)).alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), ids_out=False)
+    return encode_decode(table(spark, sf_dir, "documents"), outputs=())
 
 
 QUERIES = {"op6_bpe": op6_bpe}
