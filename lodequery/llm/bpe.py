@@ -41,6 +41,8 @@ NEVER = (1 << 60, 0)
 CACHE_PAIRS = 2_000_000
 #: Characters of text that are split into words at a time.
 CHUNK = 1 << 20
+#: Characters of text whose results a worker hands on at a time.
+OUT_CHARS = 1 << 22
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_ASCII = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 WORD = regex.compile(rf"{CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+")
@@ -88,6 +90,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def stretches(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts; a run ends with the text that brings it to ``most`` characters."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= most or i + 1 == len(texts):
+            yield first, i + 1
+            first, size = i + 1, 0
+
+
 class Speculator:
     """Word-level BPE with an end-of-word suffix, read from a tokenizers file."""
 
@@ -244,12 +256,7 @@ class Speculator:
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids, tokens) of each text, each joined by one space. New words of many texts are learnt together."""
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (size < CHUNK or last == first):
-                size += len(texts[last])
-                last += 1
+        for first, last in stretches(texts, CHUNK):
             split = [self.pieces(t) for t in texts[first:last]]
             seen = {w for pieces in split for _, words in pieces for w in words}
             new = [w for w in seen if w not in self.ids]
@@ -269,7 +276,6 @@ class Speculator:
                     ids += map(self.ids.__getitem__, words)
                     tokens += map(self.tokens.__getitem__, words)
                 yield " ".join(filter(None, ids)), " ".join(filter(None, tokens))
-            first = last
 
 
 @lru_cache(maxsize=1)
@@ -291,14 +297,16 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = speculator(path)
         for batch in batches:
-            rows = []
-            for ids, decoded in model.encode_batch([t or "" for t in batch["text"]]):
-                n = ids.count(" ") + 1 if ids else 0
-                whole = [np.array(ids.split(), np.int32) if x == "ids" else decoded for x in outputs]
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(utf8(decoded)).hexdigest(), *whole))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *outputs])
-            out.insert(0, "id", batch["id"].values)
-            yield out
+            texts = [t or "" for t in batch["text"]]
+            for first, end in stretches(texts, OUT_CHARS):
+                rows = []
+                for ids, decoded in model.encode_batch(texts[first:end]):
+                    n = ids.count(" ") + 1 if ids else 0
+                    whole = [np.array(ids.split(), np.int32) if x == "ids" else decoded for x in outputs]
+                    rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(utf8(decoded)).hexdigest(), *whole))
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *outputs])
+                out.insert(0, "id", batch["id"].values[first:end])
+                yield out
 
     types = {"ids": "array<int>", "decoded": "string"}
     schema = ", ".join(["n_tokens bigint, ids_sha256 string, decoded_sha256 string", *[f"{x} {types[x]}" for x in outputs]])
