@@ -6,6 +6,8 @@ Overlap joins meet on time bins: an interval is entered once for each bin it tou
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,19 +53,19 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 def greedy_as_of(left: DataFrame, right: DataFrame, keys: list[str], id_type: str = "bigint") -> DataFrame:
     """Each left row, in order of time, takes the first later right row of its keys that none before it took.
 
-    Because earlier rows take earlier matches, the walk needs only a queue: rows of a key are streamed in order and
-    the queue holds the left rows still unmatched.
+    Because earlier rows take earlier matches, the walk needs only a queue of the left rows still unmatched. The rows
+    of a key are worked through in one task.
     """
     both = left.select(*keys, "t", F.lit(0).alias("side"), F.col("left_id").alias("own")).unionByName(right.select(*keys, "t", F.lit(1).alias("side"), F.col("right_id").alias("own")))
     types = dict(both.dtypes)
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        waiting, out = [], []
+        waiting, out = deque(), []
         for row in group.sort_values(["t", "side", "own"], kind="stable").itertuples(index=False):
             if row.side == 0:
                 waiting.append(row)
             elif waiting and waiting[0].t <= row.t:
-                first = waiting.pop(0)
+                first = waiting.popleft()
                 out.append((*[getattr(first, k) for k in keys], first.own, row.own, row.t - first.t))
         out += [(*[getattr(w, k) for k in keys], w.own, None, None) for w in waiting]
         frame = pd.DataFrame(out, columns=[*keys, "left_id", "right_id", "waited"])

@@ -17,9 +17,14 @@ def partitioned(df: DataFrame, group: str, salt: str, weights: dict[str, float]
 
 
 def merged_by_fingerprint(df: DataFrame, group: str, fingerprint: str) -> DataFrame:
-    """Adds group_of: rows that share a fingerprint take the first group by name; null fingerprints keep theirs. Not transitive."""
-    first = F.min(group).over(Window.partitionBy(fingerprint))
-    return df.withColumn("group_of", F.when(F.col(fingerprint).isNotNull(), first).otherwise(F.col(group)))
+    """Adds group_of: rows that share a fingerprint take the first group by name; null fingerprints keep theirs. Not transitive.
+
+    The first group of a fingerprint is aggregated before it moves, and rows without one are not shuffled.
+    """
+    known = df.filter(F.col(fingerprint).isNotNull())
+    first = known.groupBy(fingerprint).agg(F.min(group).alias("group_of"))
+    shared = known.join(first, fingerprint).select(*df.columns, "group_of")
+    return shared.unionByName(df.filter(F.col(fingerprint).isNull()).withColumn("group_of", F.col(group)))
 
 
 def round_robin(df: DataFrame, group: str, stratum: str, item: str, cap: int, salt: str) -> DataFrame:
