@@ -147,8 +147,8 @@ def q_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").select("p_partkey", F.split(F.substring("p_name", 1, 9), "").alias("w"))
-    reference = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.slice("w", 1, 7).alias("r"))
+    part = read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", "").alias("w"))
+    reference = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("w").alias("r"))
     place, status = first_difference(F.col("w"), F.col("r"))
     return part.join(reference, "p_partkey").select("p_partkey", place.alias("place"), status.alias("status"))
 
@@ -226,8 +226,8 @@ SQL = {
         SELECT *, CASE WHEN acknowledged = 0 THEN 'acknowledged_missing' WHEN acknowledged > 1 THEN 'acknowledged_repeated' WHEN result = 0 THEN 'result_missing' WHEN result > 1 THEN 'result_repeated' ELSE 'accepted' END AS verdict FROM j
     """,
     "first_difference": """
-        WITH w AS (SELECT p_partkey, string_split(substr(p_name, 1, 9), '') AS w FROM part),
-        j AS (SELECT a.p_partkey, a.w AS x, b.w[1:7] AS y, least(len(a.w), len(b.w[1:7])) AS m FROM w a JOIN w b ON b.p_partkey = a.p_partkey + 1),
+        WITH w AS (SELECT p_partkey, string_split(p_name, '') AS w FROM part),
+        j AS (SELECT a.p_partkey, a.w AS x, b.w AS y, least(len(a.w), len(b.w)) AS m FROM w a JOIN w b ON b.p_partkey = a.p_partkey + 1),
         s AS (SELECT *, coalesce(list_min(list_filter(range(1, m + 1), lambda i: x[i] <> y[i])) - 1, m) AS shared FROM j)
         SELECT p_partkey, CASE WHEN shared < m OR len(x) > len(y) THEN shared + 1 END AS place, CASE WHEN shared < m OR len(x) > len(y) THEN 'differs' WHEN len(x) = len(y) THEN 'same' ELSE 'same_so_far' END AS status FROM s
     """,

@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.SQL.keys()))
 def test_query_runs(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).count() >= 0
+    assert catalog.QUERIES[name](spark, sf_dir).limit(1).collect()
 
 
 def test_kleene(spark):
