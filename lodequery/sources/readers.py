@@ -26,10 +26,20 @@ def sampler(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter((F.col("line") > 0) & (F.trim("sample") != ""))
 
 
+def quoted_cells(line: Column) -> Column:
+    """The cells of a CSV line, without their quotes."""
+    quoted = r'"[^"]*+(?:""[^"]*+)*+"'
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf",({quoted}(?=,|\z)|[^,]*)"), 1)
+    return F.transform(raw, lambda c: F.when(c.rlike(rf"\A{quoted}\z"), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def ragged_csv(spark: SparkSession, path: str, header: list[str], widths: tuple[int, ...]) -> DataFrame:
-    """(file, row, cells, fault): cells of rows whose width is allowed; a wrong header or width is a fault of its row."""
+    """(file, row, cells, fault): cells of rows whose width is allowed; a wrong header or width is a fault of its row.
+
+    A cell may stand in double quotes, and then hold commas and doubled quotes, but no line ends.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("row", "raw"))
-    cells = whole.filter(F.col("raw") != "").withColumn("cells", F.split("raw", ","))
+    cells = whole.filter(F.col("raw") != "").withColumn("cells", quoted_cells(F.col("raw")))
     wrong = F.when(F.col("row") == 0, F.when(F.array_join("cells", ",") != ",".join(header), "wrong_header")).when(~F.size("cells").isin(*widths), "wrong_width")
     return cells.select("file", "row", "cells", wrong.alias("fault"))
 

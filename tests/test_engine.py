@@ -117,6 +117,9 @@ def test_readers(spark, tmp_path):
     assert [(r.line, r.seq, r.fault) for r in rows] == [(1, 0, None), (3, None, "not_an_event"), (4, 1, None), (5, None, "not_an_event")]
     (tmp_path / "b.csv").write_text("a,b,c\n1,2\n1,2,3\n1\n")
     assert [r.fault for r in readers.ragged_csv(spark, str(tmp_path / "b.csv"), ["a", "b", "c"], (2, 3)).orderBy("row").collect()] == [None, None, None, "wrong_width"]
+    (tmp_path / "q.csv").write_text('a,b,c\n"1,5",2\n"a ""b""",,"x"\n,"",5" tall\n"open,2\n')
+    cells = [r.cells for r in readers.ragged_csv(spark, str(tmp_path / "q.csv"), ["a", "b", "c"], (2, 3)).orderBy("row").collect()]
+    assert cells[1:] == [["1,5", "2"], ['a "b"', "", "x"], ["", "", '5" tall'], ['"open', "2"]]
     (tmp_path / "c.json").write_text('{"a":1,"a":2}')
     assert [r.fault for r in readers.json_documents(spark, str(tmp_path / "c.json")).collect()] == ["not_strict_json"]
 
