@@ -21,6 +21,7 @@ empty table gives an empty result. Columns other than the id and the text are no
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -215,7 +216,8 @@ class Aligner:
 
 @lru_cache(maxsize=1)
 def aligner(a_path: str, b_path: str) -> Aligner:
-    """One for each worker."""
+    """One for each worker, which has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Aligner(a_path, b_path)
 
 
