@@ -43,7 +43,7 @@ SALTS = 16
 #: Characters of text that a worker aligns at a time.
 CHUNK = 1 << 19
 #: Characters of words and of their groups, spelled out, that a worker remembers.
-CACHE_CHARS = 16_000_000
+CACHE_CHARS = 32_000_000
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 CUT = re.compile(f"(?<=[{LETTERS}])(?= [{LETTERS}])")
 #: A word that both tokenizers cut off from any such word before or after it.
