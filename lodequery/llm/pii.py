@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[Span]:
     """Base spans by start, then kind as listed. A match that fails its test is dropped, with no second try."""
     found: list[Span] = [("email", a, b) for a, b in emails(text)]
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split(".")):
             found.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")

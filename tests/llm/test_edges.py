@@ -259,3 +259,16 @@ def test_shards_against_plain_draws(spark):
     got = shards.place(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), reach(tree, "null" if i is None else i), reach(shards.grown(tree, 16), "null" if i is None else i)) for i, t in rows)
     assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in got) == want
+
+
+@pytest.mark.parametrize("run", ["0" * 10_000, "7" * 10_000])
+def test_runs_of_ten_thousand_characters_in_every_kind(spark, run):
+    from lodequery.llm import pii
+
+    texts = [f"a {run}1.2.3.4 b", f"a 1.2.3.{run} b", f"x{run}@example.com b", f"a@b{run}.com c", f"card {run} 4111 1111 1111 1111 x", f"+{run} b", f"+1 ({run}) 5", run]
+    spans = [pii.base_spans(t) for t in texts]
+    zero = run[0] == "0"
+    assert [s[0] for s in spans[0]] == (["ip"] if zero else []) and [s[0] for s in spans[1]] == (["ip"] if zero else [])
+    assert spans[2] == [("email", 0, 10_013)] and spans[3] == [("email", 0, 10_007)] and spans[4] == spans[5] == spans[6] == spans[7] == []
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(r.n_email, r.n_ip) for r in got] == [(0, int(zero)), (0, int(zero)), (1, 0), (1, 0), (0, 0), (0, 0), (0, 0), (0, 0)]
