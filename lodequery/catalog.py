@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import audits, checks, choices, clusters, encoding, estimates, evidence, experiments, intervals, localization, matching, oriented, ranking, rays, records, relations, sampling, sensing, series, summaries, telemetry, turned, verify
+from .operators import audits, checks, choices, clusters, encoding, estimates, evidence, experiments, intervals, localization, matching, oriented, ranking, rays, records, relations, sampling, sensing, series, slices, summaries, telemetry, trees, turned, verify
 from .plans import commands, resolution
 from .sources import releases
 from .streaming import object_state
 
-MODULES = (relations, ranking, resolution, commands, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays, series, encoding, clusters, summaries, audits, turned, oriented, evidence, experiments, records, sensing, localization, object_state, releases)
+MODULES = (relations, ranking, resolution, commands, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays, series, encoding, clusters, summaries, audits, turned, oriented, evidence, experiments, records, sensing, localization, object_state, releases, slices, trees)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 
