@@ -5,7 +5,7 @@ holds ``MANY`` or more rare values, of fewer than ``SUPPORT`` rows each; its rar
 stay literal branches. A host with fewer than ``MANY * SUPPORT`` rows there and no such position of its own follows the same
 place over all hosts, by the counts over all hosts. Rows whose node has fewer than ``MANY`` rows over all hosts leave the
 descent with their further segments as they are, as nothing below can be variable; the rest goes down to the
-deepest path. Sibling branches whose shares of blocked pages do not differ significantly (a
+deepest path, in one step as far as no row leaves the way of the others. Sibling branches whose shares of blocked pages do not differ significantly (a
 two-proportion test between neighbours in order of share) are merged.
 
 Labels are the verdicts of the rules, on the pages that some rule fits. The purity of a merged template is its share of
@@ -52,46 +52,67 @@ def by_rules(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def templates(rows: DataFrame) -> DataFrame:
-    """Adds template, the path with variable segments as wildcards, and parent, the template without its last segment.
+def ahead(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the nodes at which some row leaves the way of the others, and all other rows, moved on to where that happens or to their end.
 
-    A row counts ``n`` times, or once if there is no such column.
+    The way of a node is the greatest of its rows' further segments. Up to the first place where a row departs from it every
+    node has one branch, which no position with ``MANY`` values can be, so all rows move there in one step, however deep it is.
     """
-    rows = rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("long"))
-    active = durable(rows.withColumn("segments", F.split("path", "/", -1)).withColumn("node", F.lit("")))
-    level, done = 1, []
-    while True:
-        done.append(active.filter(F.size("segments") <= level))
-        going = active.filter(F.size("segments") > level)
-        crowded = durable(going.groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= MANY).select("node", F.lit(True).alias("crowded")))
-        marked = join_small(going, crowded, ["node"], "left")
-        rest = F.concat_ws("/", "node", F.array_join(F.slice("segments", level + 1, F.size("segments")), "/"))
-        done.append(marked.filter("crowded is null").withColumn("node", rest).drop("crowded"))
-        if not crowded.limit(1).count():
-            break
-        segment = F.get("segments", F.lit(level))
-        counts = durable(join_small(going, crowded, ["node"], "left_semi").groupBy("host", "node", segment.alias("segment")).agg(F.sum("n").alias("n")))
-        total = counts.groupBy("node", "segment").agg(F.sum("n").alias("n"))
-        rare = F.count_if(F.col("n") < SUPPORT) >= MANY
-        # a host decides by itself if it has a variable position or rows enough to show that it has none
-        own = counts.groupBy("host", "node").agg(rare.alias("own"), F.sum("n").alias("rows")).filter(F.col("own") | (F.col("rows") >= MANY * SUPPORT)).drop("rows")
-        common = total.groupBy("node").agg(rare.alias("common")).filter("common")
-        known = marked.filter("crowded").drop("crowded").withColumn("segment", segment)
-        if not own.filter("own").select("node").unionByName(common.select("node")).limit(1).count():
-            active = durable(known.withColumn("node", F.concat_ws("/", "node", "segment")).select(*active.columns))
-            level += 1
-            continue
+    on = F.zip_with("rest", "way", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    shared = F.coalesce(F.nullif(F.array_position(on, F.lit(False)), F.lit(0)) - 1, F.size(on)).cast("int")
+    along = durable(join_small(rows, nodes.select("node", "way"), ["node"]).withColumn("shared", shared).drop("way"))
+    parting = durable(along.groupBy("node").agg(F.min(F.when(F.col("shared") < F.size("rest"), F.col("shared"))).alias("parting")))
+    met = join_small(along, parting, ["node"])
+    step = F.least(F.col("parting"), F.size("rest"))  # of two, the one that is not null
+    moved = met.filter("parting is null or parting > 0").withColumn("step", step)
+    node = F.concat_ws("/", "node", F.array_join(F.slice("rest", F.lit(1), F.col("step")), "/"))
+    moved = moved.withColumn("node", node).withColumn("rest", F.slice("rest", F.col("step") + 1, F.size("rest"))).drop("shared", "parting", "step")
+    return met.filter("parting = 0").drop("shared", "parting"), moved
+
+
+def branched(rows: DataFrame) -> DataFrame:
+    """Rows moved on by one segment, which becomes a wildcard where it is a rare value of a variable position."""
+    segment = F.element_at("rest", 1)
+    counts = durable(rows.groupBy("host", "node", segment.alias("segment")).agg(F.sum("n").alias("n")))
+    total = counts.groupBy("node", "segment").agg(F.sum("n").alias("n"))
+    rare = F.count_if(F.col("n") < SUPPORT) >= MANY
+    # a host decides by itself if it has a variable position or rows enough to show that it has none
+    own = counts.groupBy("host", "node").agg(rare.alias("own"), F.sum("n").alias("rows")).filter(F.col("own") | (F.col("rows") >= MANY * SUPPORT)).drop("rows")
+    common = total.groupBy("node").agg(rare.alias("common")).filter("common")
+    known = rows.withColumn("segment", segment)
+    wild = F.lit(False)
+    if not own.filter("own").select("node").unionByName(common.select("node")).isEmpty():
         literal = F.col("n") >= SUPPORT
         own_literal = counts.filter(literal).join(own.filter("own"), ["host", "node"], "left_semi").select("host", "node", "segment", F.lit(True).alias("own_literal"))
         common_literal = total.filter(literal).join(common, "node", "left_semi").select("node", "segment", F.lit(True).alias("common_literal"))
         for side, keys in ((own, ["host", "node"]), (common, ["node"]), (own_literal, ["host", "node", "segment"]), (common_literal, ["node", "segment"])):
             known = join_small(known, side, keys, "left")
         wild = F.when(F.col("own").isNotNull(), F.col("own") & F.col("own_literal").isNull()).otherwise(F.col("common").isNotNull() & F.col("common_literal").isNull())
-        node = F.concat("node", F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("segment")))
-        active = durable(known.withColumn("node", node).select(*active.columns))
-        level += 1
-    every = durable(reduce(DataFrame.unionByName, [part.select(*active.columns) for part in done]))
-    return every.drop("segments").withColumnRenamed("node", "template").withColumn("parent", F.regexp_replace("template", r"/[^/]*\z", ""))
+    node = F.concat("node", F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("segment")))
+    return known.withColumn("node", node).withColumn("rest", F.slice("rest", F.lit(2), F.size("rest"))).select(*rows.columns)
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """Adds template, the path with variable segments as wildcards, and parent, the template without its last segment.
+
+    A row counts ``n`` times, or once if there is no such column. Steps follow the branching of the paths, not their depth.
+    """
+    rows = rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("long"))
+    segments = F.split("path", "/", -1)
+    active = durable(rows.withColumn("node", F.lit("")).withColumn("rest", F.slice(segments, F.lit(2), F.size(segments))))
+    columns, done = active.columns, []
+    while True:
+        done.append(active.filter(F.size("rest") == 0))
+        going = active.filter(F.size("rest") > 0)
+        nodes = durable(going.groupBy("node").agg(F.sum("n").alias("n"), F.max("rest").alias("way")).filter(F.col("n") >= MANY).withColumn("crowded", F.lit(True)))
+        marked = join_small(going, nodes.select("node", "crowded"), ["node"], "left")
+        done.append(marked.filter("crowded is null").withColumn("node", F.concat_ws("/", "node", F.array_join("rest", "/"))).select(*columns))
+        if nodes.isEmpty():
+            break
+        parted, moved = ahead(marked.filter("crowded").drop("crowded"), nodes)
+        active = durable(branched(parted).select(*columns).unionByName(moved.select(*columns)))
+    every = durable(reduce(DataFrame.unionByName, [part.select(*columns) for part in done]))
+    return every.drop("rest").withColumnRenamed("node", "template").withColumn("parent", F.regexp_replace("template", r"/[^/]*\z", ""))
 
 
 def judged(rows: DataFrame) -> DataFrame:

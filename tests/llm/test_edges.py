@@ -272,3 +272,20 @@ def test_runs_of_ten_thousand_characters_in_every_kind(spark, run):
     assert spans[2] == [("email", 0, 10_013)] and spans[3] == [("email", 0, 10_007)] and spans[4] == spans[5] == spans[6] == spans[7] == []
     got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [(r.n_email, r.n_ip) for r in got] == [(0, int(zero)), (0, int(zero)), (1, 0), (1, 0), (0, 0), (0, 0), (0, 0), (0, 0)]
+
+
+def test_paths_of_five_hundred_segments(spark):
+    """Steps follow branching: one long way with an end that varies, rows that stop on it, and one that leaves it deep down."""
+    import time
+
+    from lodequery.llm import url_filter
+
+    deep = "/a/b" * 250
+    paths = [f"{deep}/p{i}" for i in range(40)] + ["/a/b" * k for k in range(1, 200, 9)] + ["/a/b" * 120 + "/other/way"]
+    rows = spark.createDataFrame([("h.com", p) for p in paths], "host string, path string")
+    began = time.time()
+    got = {r.path: (r.template, r.parent) for r in url_filter.templates(rows).collect()}
+    assert time.time() - began < 60 and set(got) == set(paths)
+    for p in paths:
+        want = f"{deep}/*" if p.startswith(deep) else p
+        assert got[p] == (want, want.rpartition("/")[0])
