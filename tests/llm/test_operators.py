@@ -63,7 +63,7 @@ def test_labels_keep_their_share_if_ids_repeat(spark):
     texts = [(1, f"calm {i}") for i in range(600)] + [(2, f"nasty {i}") for i in range(600)] + [(3, "x" * 30_000)]
     data, marks = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id bigint, toxic int")
     open_ = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
-    got = Counter(toxicity.sample(data, marks, "doc_id", "text", 50)["toxic"])
+    got = Counter(toxicity.sample(data, marks, "doc_id", "text", 50).toPandas()["toxic"])
     assert got == Counter({label: 100 for i, label in ((1, 0), (2, 1)) if i in open_})
 
 
