@@ -64,13 +64,24 @@ def branch_outcomes(asks: DataFrame, met: DataFrame) -> DataFrame:
     ranks = order.select(*keys).distinct().join(found, rank_keys, "left")
     ranked = ranks.select(*ASK, F.coalesce("_status", F.lit("no_match")).alias("status"), F.coalesce("object_ids", F.array().cast("array<bigint>")).alias("ids"))
 
-    triples = bound.filter("second is not null").join(sure("second", "b"), ["scene_id", "second"]).withColumn("b_id", F.col("b.object_id")).filter("a_id <> b_id").join(targets, ["scene_id", "target"], "left")
+    couples = bound.filter("second is not null").join(sure("second", "b"), ["scene_id", "second"]).withColumn("b_id", F.col("b.object_id"))
+    triples = couples.filter("a_id <> b_id").join(targets, ["scene_id", "target"], "left")
     between = classed(triples, [*keys, "b_id"], F.when(F.col("t.object_id").isin(F.col("a_id"), F.col("b_id")), False).otherwise(between_state()))
     return related.drop("a_id").unionByName(ranked).unionByName(between.drop("a_id", "b_id"))
 
 
+def pruned_couples(asks: DataFrame, met: DataFrame) -> DataFrame:
+    """(ASK, pruned): of each question with two anchors, how many couples of anchors are one object and make no branch.
+
+    These are the objects that both phrases name for certain: a join of the matches, without making the couples.
+    """
+    sure = lambda phrase: met.filter("definite").select("scene_id", F.col("phrase").alias(phrase), F.col("o.object_id").alias("object_id"))
+    both = asks.filter("second is not null").join(sure("first"), ["scene_id", "first"]).join(sure("second"), ["scene_id", "second", "object_id"])
+    return both.groupBy(*ASK).agg(F.count(F.lit(1)).alias("pruned"))
+
+
 def answers(asked: DataFrame, things: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(scene_id, text, status, reason, target_id, ids) of each distinct command of a scene."""
+    """(scene_id, text, status, reason, target_id, ids, pruned) of each distinct command of a scene; ``pruned`` counts the couples of anchors that are one object."""
     every = asked.select("scene_id", "text").distinct()
     readings = cut(commands(every, vocabulary))
     parsed = every.join(readings, "text").withColumn("first", F.get(F.split("anchors", r"\|"), F.lit(0))).withColumn("second", F.get(F.split("anchors", r"\|"), F.lit(1)))
@@ -84,7 +95,8 @@ def answers(asked: DataFrame, things: DataFrame, vocabulary: DataFrame) -> DataF
     stop = stop.when(F.col("second").isNotNull() & (F.col("m_second") > 0), "insufficient_information").when(F.col("second").isNotNull() & (F.col("n_second") == 0), "no_match")
     gated = cut(gated.select(*ASK, stop.alias("stop")))
     is_ = lambda name: F.col("status") == name
-    merged = branch_outcomes(gated.filter("stop is null").select(*ASK), met).groupBy(*ASK).agg(
+    going = gated.filter("stop is null").select(*ASK)
+    merged = branch_outcomes(going, met).groupBy(*ASK).agg(
         *[F.bool_or(is_(s)).alias(f"any_{s}") for s in ("budget_exceeded", "insufficient_information")],
         F.bool_and(is_("resolved")).alias("all_resolved"),
         F.bool_and(is_("no_match")).alias("all_missing"),
@@ -93,15 +105,16 @@ def answers(asked: DataFrame, things: DataFrame, vocabulary: DataFrame) -> DataF
     status = F.when(F.col("any_budget_exceeded"), "budget_exceeded").when(F.col("any_insufficient_information"), "insufficient_information")
     status = status.when(F.col("all_resolved") & (F.size("ids") == 1), "resolved").when(F.col("all_missing"), "no_match").otherwise("ambiguous")
     same = lambda x, y: reduce(lambda p, q: p & q, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in ASK])
-    settled = gated.alias("g").join(merged.withColumn("found", status).alias("m"), same("g", "m"), "left").select("g.*", F.coalesce("stop", "found", F.lit("no_match")).alias("answer"), "m.ids")
+    found = gated.alias("g").join(merged.withColumn("found", status).alias("m"), same("g", "m"), "left").select("g.*", F.coalesce("stop", "found", F.lit("no_match")).alias("answer"), "m.ids")
+    settled = found.alias("g").join(pruned_couples(going, met).alias("n"), same("g", "n"), "left").select("g.*", F.coalesce("n.pruned", F.lit(0)).alias("pruned"))
     joined = parsed.alias("p").join(settled.alias("q"), same("p", "q"), "left")
     ids = F.coalesce("q.ids", F.array().cast("array<bigint>"))
-    return joined.select("p.scene_id", "p.text", F.coalesce("q.answer", "p.status").alias("status"), "p.reason", F.when(F.col("q.answer") == "resolved", F.get(ids, F.lit(0))).alias("target_id"), ids.alias("ids"))
+    return joined.select("p.scene_id", "p.text", F.coalesce("q.answer", "p.status").alias("status"), "p.reason", F.when(F.col("q.answer") == "resolved", F.get(ids, F.lit(0))).alias("target_id"), ids.alias("ids"), F.coalesce("q.pruned", F.lit(0)).alias("pruned"))
 
 
 def q_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every templated command about its own scene, over the objects of known category."""
-    things = objects(spark, sf_dir).filter("category is not null")
+    """Every templated command about its own scene, over all its objects; one of unknown category may be whatever a phrase of its colour names."""
+    things = objects(spark, sf_dir)
     asked = command_texts(spark, sf_dir).join(objects(spark, sf_dir).select("object_id", "scene_id"), "object_id")
     return answers(asked, things, phrases(spark, CATEGORIES, COLOURS)).withColumn("ids", F.array_join("ids", ","))
 

@@ -112,14 +112,19 @@ def test_answers_equal_a_search(spark):
     asked = spark.createDataFrame([(s, t) for s in ids for t in TEXTS], "scene_id bigint, text string")
     got = commands.answers(asked, things, encoding.phrases(spark, encoding.CATEGORIES, encoding.COLOURS)).collect()
     assert len(got) == len(ids) * len(TEXTS)
-    met = set()
+    met, pruned = set(), 0
     for r in got:
         if "sofa" in r.text or "big" in r.text:
             assert r.status == "unsupported" and r.reason in ("unrecognized_text", "size_comparison") and r.target_id is None
             continue
         assert (r.status, r.target_id) == answer(r.text, [o for o in rows if o[0] == r.scene_id], state, between, far), (r.scene_id, r.text)
         met.add(r.status)
-    assert met == {"resolved", "ambiguous", "no_match", "insufficient_information"}
+        couple = r.text.rpartition(" between the ")[2].split(" and the ") if " between the " in r.text else []
+        held = [[attribute(o, phrase) for o in rows if o[0] == r.scene_id] for phrase in couple]
+        asked_all = couple and not any(None in h for h in held) and all(any(h) for h in held)
+        assert r.pruned == (sum(a and b for a, b in zip(*held, strict=True)) if asked_all else 0)
+        pruned += r.pruned
+    assert pruned and met == {"resolved", "ambiguous", "no_match", "insufficient_information"}
 
 
 def test_audits_take_nulls_and_nothing(spark):
