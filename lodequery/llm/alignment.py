@@ -91,6 +91,8 @@ class Aligner:
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.b_bits = len(pieces).bit_length()
+        # A without a normaliser and with a token for each byte gives back whatever it is given
+        self.lossless = self.a.normalizer is None and len({x for x in self.a_bytes if len(x) == 1}) == 256
         # each id as it is written within a group and at the end of its side of a group
         self.a_names, self.b_names = (tuple(np.array([f"{i}{c}" for i in range(n)], object) for c in ends) for n, ends in ((len(self.a_bytes), ",|"), (len(pieces), ",;")))
         self.words = Words()
@@ -108,7 +110,11 @@ class Aligner:
 
     def gives_back(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
         raw = utf8(text)
-        return all(each[ids].sum() == len(raw) and b"".join(map(of.__getitem__, ids.tolist())) == raw for ids, of, each in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)))
+        return (
+            self.a_sizes[a].sum() == self.b_sizes[b].sum() == len(raw)
+            and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw
+            and (self.lossless or b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw)
+        )
 
     def encoded(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """The words in another order, their tokens of A and of B one after the other, and which words a tokenizer does not give back; these have no tokens.
@@ -141,7 +147,7 @@ class Aligner:
     def learn(self, words: list[str]) -> None:
         """Align new words, all at once."""
         words, ids_a, ids_b, bad = self.encoded(words)
-        sizes = np.where(bad, 0, np.fromiter((len(utf8(w)) for w in words), np.int64, len(words)))
+        sizes = np.where(bad, 0, np.array([len(w.encode("utf-8", "replace")) for w in words], np.int64))
         stops = np.cumsum(sizes)
         ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
         starts_a, starts_b = ends_a - self.a_sizes[ids_a], ends_b - self.b_sizes[ids_b]
