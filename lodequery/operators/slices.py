@@ -6,9 +6,11 @@ the order are taken as sorted by cost. Empty input gives no rows. A key's costs
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,37 +21,44 @@ from ..binding import read
 STEPS = 60
 
 
-def ends_under(sums: np.ndarray, first: float, budget: float, most: int) -> list[int] | None:
-    """Where slices end if each takes all it can under a budget; None if an item is dearer, or more than ``most`` slices are needed.
+def pack(sums: list[float], first: float, budget: float, most: int) -> tuple[list[int] | None, float, float]:
+    """Slices that each take all they can under a budget: their ends (None if more than ``most`` are needed), the heaviest load, and the least budget that would pack otherwise.
 
     ``sums`` are the running sums of the costs, from 0. Each slice is found by a search, so a pass takes as many steps as there are slices.
     """
-    ends, at, load = [], 0, first
-    while at < len(sums) - 1:
-        to = int(np.searchsorted(sums, sums[at] + budget - load, "right")) - 1
-        if to <= at:
-            if load == 0:
-                return None
-            to = at
+    ends, at, load, heaviest, other, last = [], 0, first, first, math.inf, len(sums) - 1
+    while True:
+        to = max(bisect_right(sums, sums[at] + budget - load) - 1, at)
         ends.append(to)
-        if len(ends) > most:
-            return None
+        heaviest = max(heaviest, sums[to] - sums[at] + load)
+        if to == last:
+            return ends, heaviest, other
+        other = min(other, sums[to + 1] - sums[at] + load)
+        if len(ends) == most:
+            return None, heaviest, other
         at, load = to, 0.0
-    return ends or [0]
 
 
-def least_heaviest(costs: np.ndarray, most: int, first: float = 0.0) -> list[int]:
-    """The ends of at most ``most`` slices whose heaviest load is least; ``first`` is a load the first slice has besides."""
-    if (costs < 0).any():
+def least_heaviest(costs: list[float], most: int, first: float = 0.0) -> list[int]:
+    """The ends of at most ``most`` slices whose heaviest load is least; ``first`` is a load the first slice has besides.
+
+    The bisection's lower end moves to the least budget that packs otherwise and its upper end to the load of the packing found, so it ends when they meet.
+    """
+    if any(c < 0 for c in costs):
         raise ValueError("costs must not be negative")
-    sums = np.append(0.0, np.cumsum(costs))
-    low, high = max(costs.max(initial=0.0), first), sums[-1] + first
-    best = ends_under(sums, first, high * (1 + 1e-12), most)
-    for _ in range(STEPS):
-        middle = (low + high) / 2
-        found = ends_under(sums, first, middle, most)
-        low, high, best = (low, middle, found) if found else (middle, high, best)
-    return best
+    sums = [0.0, *accumulate(costs)]
+    low, high = max([first, *costs]), sums[-1] + first
+    best = [len(costs)]
+    for step in range(STEPS):
+        guess = low if step == 0 else (low + high) / 2
+        found, heaviest, other = pack(sums, first, guess, most)
+        if found:
+            best, high = found, min(heaviest, guess)
+        else:
+            low = max(other, guess)
+        if low >= high or step == 0 and found:
+            return best
+    return pack(sums, first, low, most)[0] or best
 
 
 def lightest_slices(items: DataFrame, keys: list[str], order: list[str], cost: str, most: int, first: float = 0.0) -> DataFrame:
@@ -62,8 +71,8 @@ def lightest_slices(items: DataFrame, keys: list[str], order: list[str], cost: s
         for batch in batches:
             rows = []
             for *key, held in batch.itertuples(index=False, name=None):
-                ends = least_heaviest(np.asarray(held, float), most, first)
-                sums = np.append(0.0, np.cumsum(held))
+                ends = least_heaviest(held.tolist(), most, first)
+                sums = [0.0, *accumulate(held.tolist())]
                 loads = [sums[j] - sums[i] + (first if k == 0 else 0.0) for k, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
                 rows += [(*key, k, j - i, load, max(loads)) for k, (i, j, load) in enumerate(zip([0, *ends[:-1]], ends, loads, strict=True))]
             yield pd.DataFrame(rows, columns=[*keys, "slice", "n", "load", "heaviest"])

@@ -54,9 +54,9 @@ def test_lightest_slices(seed):
     for _ in range(60):
         n, most, first = int(rng.integers(0, 8)), int(rng.integers(1, 5)), float(rng.choice([0.0, 3.0, 30.0]))
         costs = rng.choice([0.0, 1.0, 2.5, 9.0, 0.1], n)
-        ends = slices.least_heaviest(costs, most, first)
+        ends = slices.least_heaviest(costs.tolist(), most, first)
         loads = [costs[i:j].sum() + (first if k == 0 else 0) for k, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
         best = min(max([costs[i:j].sum() + (first if i == 0 and k == 0 else 0) for k, (i, j) in enumerate(zip([0, *c], [*c, n], strict=True))]) for c in itertools.combinations_with_replacement(range(n + 1), most - 1))
         assert ends[-1] == n and len(ends) <= most and max(loads) == pytest.approx(best, abs=1e-9), (costs, most, first)
     with pytest.raises(ValueError, match="negative"):
-        slices.least_heaviest(np.array([-1.0]), 2)
+        slices.least_heaviest([-1.0], 2)
