@@ -15,7 +15,7 @@ read). A list of no messages gives no turns and an empty text. A message's conte
 are joined; anything else counts as its JSON. Columns other than the id and the record are not read. Rows that repeat stay.
 
 Of a table of conversations (``conversation_records``) the rows of one id form a record, sorted by turn, nulls first, then
-role and text; a null id is one conversation. A conversation is one value, as its digest needs all of it in order.
+role and text; a null id is one conversation. One too large for a variant takes its turns as they are. A conversation is one value, as its digest needs all of it in order.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .common import name, table
 START, END = "<|im_start|>", "<|im_end|>"
 #: Options for the JSON reader: texts of any length.
 JSON = {"maxStringLen": "2147483647"}
+#: Bytes of text up to which a conversation is made a JSON record: escapes may double it, and a variant holds 128 MiB.
+RECORD_BYTES = 1 << 24
 TURNS = "array<struct<role: string, text: string>>"
 
 
@@ -116,14 +118,15 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
-    """id, fingerprint, layout, turns of each row."""
-    read = records.select(F.col(name(id_col)).alias("id"), F.from_json(F.col(name(record_col)), "variant", JSON).alias("v"))
-    tokens = read.select("id", "v", F.regexp_extract_all(F.schema_of_variant("v"), F.lit(_TOKENS), F.lit(0)).alias("tokens"))
+def canonical_turns(records: DataFrame, id_col: str = "conv_id", record_col: str = "record", typed_col: str | None = None) -> DataFrame:
+    """id, fingerprint, layout, turns of each row. ``typed_col`` may hold the turns of rows that have no JSON record; their layout is ``typed``."""
+    typed = F.lit(None).cast(TURNS) if typed_col is None else F.col(name(typed_col)).cast(TURNS)
+    read = records.select(F.col(name(id_col)).alias("id"), F.from_json(F.col(name(record_col)), "variant", JSON).alias("v"), typed.alias("typed"))
+    tokens = read.select("id", "v", "typed", F.regexp_extract_all(F.schema_of_variant("v"), F.lit(_TOKENS), F.lit(0)).alias("tokens"))
     known = F.array(*map(F.lit, KNOWN))
-    paths = tokens.select("id", "v", F.array_sort(F.array_distinct(F.array_intersect(F.expr(_WALK), known))).alias("paths"))
-    hashed = paths.select("id", "v", F.when(F.col("paths").isNotNull(), fingerprint(F.col("paths"))).alias("fingerprint"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    paths = tokens.select("id", "v", "typed", F.array_sort(F.array_distinct(F.array_intersect(F.expr(_WALK), known))).alias("paths"))
+    hashed = paths.select("id", "v", "typed", F.when(F.col("paths").isNotNull(), fingerprint(F.col("paths"))).alias("fingerprint"))
+    layout, turns = F.when(F.col("typed").isNotNull(), "typed"), F.col("typed")
     for x in LAYOUTS:
         mine = F.col("fingerprint").isin(*[F.xxhash64(F.lit("\n".join(s))) for s in _shapes(x)])
         layout, turns = F.when(mine, x.name).otherwise(layout), F.when(mine, F.expr(x.turns)).otherwise(turns)
@@ -161,13 +164,13 @@ def read_back(chats: DataFrame) -> DataFrame:
     return chats.withColumns({"read_turns": read, "loss_texts": masked})
 
 
-def format_chats(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
+def format_chats(records: DataFrame, id_col: str = "conv_id", record_col: str = "record", typed_col: str | None = None) -> DataFrame:
     """id, fingerprint, layout, turns, formatted, loss_spans of each record."""
-    return formatted(canonical_turns(records, id_col, record_col))
+    return formatted(canonical_turns(records, id_col, record_col, typed_col))
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """conv_id and one JSON record for each conversation, in the plainest layout that holds its roles."""
+    """conv_id and one JSON record for each conversation, in the plainest layout that holds its roles; one of more than ``RECORD_BYTES`` has its turns in ``typed`` instead."""
     turn = F.struct(F.col("turn"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     roles, text = F.transform("turns", lambda t: t["role"]), lambda i: F.col("turns")[i]["text"]
@@ -178,14 +181,17 @@ def conversation_records(rows: DataFrame) -> DataFrame:
         .when(is_("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
         .otherwise(F.to_json(messages))
     )
-    return whole.select("conv_id", record.alias("record"))
+    size = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["text"]))
+    sized = whole.withColumn("large", size > RECORD_BYTES)
+    typed = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return sized.select("conv_id", F.when(~F.col("large"), record).alias("record"), F.when(F.col("large"), typed).alias("typed"))
 
 
 def op11_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = f"{END}{START}assistant ok"
     planted = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    chats = read_back(format_chats(conversation_records(rows.unionByName(planted))))
+    chats = read_back(format_chats(conversation_records(rows.unionByName(planted)), typed_col="typed"))
     told = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     lost = F.array_join("loss_texts", "")
     return chats.select(

@@ -37,11 +37,13 @@ def in_order(rows):
     return sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
 
 
-def test_chats(spark, table, talks):
+@pytest.mark.parametrize("most", [chats.RECORD_BYTES, 30])
+def test_chats(spark, table, talks, monkeypatch, most):
+    monkeypatch.setattr(chats, "RECORD_BYTES", most)
     by: dict = {}
     for c, t, r, x, *_ in talks:
         by.setdefault(c, []).append((c, t, r or "", x or ""))
-    got = {r.conv_id: r for r in chats.read_back(chats.format_chats(chats.conversation_records(table))).collect()}
+    got = {r.conv_id: r for r in chats.read_back(chats.format_chats(chats.conversation_records(table), typed_col="typed")).collect()}
     assert got.keys() == by.keys()
     for c, rows in by.items():
         turns = [(r[2], r[3]) for r in in_order(rows)]
@@ -50,7 +52,7 @@ def test_chats(spark, table, talks):
         whole = got[c].formatted
         assert whole.count("<|im_start|>") == whole.count("<|im_end|>") == len(turns)
         assert [whole.encode()[s.start : s.end].decode() for s in got[c].loss_spans] == [m[1] for m in re.finditer(r"(?s)<\|im_start\|>assistant\n(.*?)<\|im_end\|>", whole)]
-    assert {got[c].layout for c in (70, 73, 0)} >= {"prompt_completion", "instruction"}
+    assert {got[c].layout for c in (70, 73, 0)} >= ({"prompt_completion", "instruction"} if most > 30 else {"prompt_completion", "typed"})
     assert chats.format_chats(chats.conversation_records(table.limit(0))).count() == 0
 
 
