@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import audits, checks, choices, clusters, contract, encoding, estimates, evidence, experiments, intervals, localization, matching, oriented, parity, ranking, rays, records, relations, sampling, sensing, series, slices, summaries, telemetry, trees, turned, verify
 from .plans import commands, resolution
 from .sources import readers, releases
-from .streaming import object_state
+from .streaming import captures, object_state, streams
 
-MODULES = (relations, ranking, resolution, commands, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays, series, encoding, clusters, summaries, audits, turned, oriented, evidence, experiments, records, sensing, localization, object_state, releases, slices, trees, contract, readers, parity)
+MODULES = (relations, ranking, resolution, commands, intervals, telemetry, sampling, estimates, matching, choices, verify, checks, rays, series, encoding, clusters, summaries, audits, turned, oriented, evidence, experiments, records, sensing, localization, object_state, releases, slices, trees, contract, readers, parity, streams, captures)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 

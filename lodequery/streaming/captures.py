@@ -6,9 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..binding import log
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -80,6 +83,16 @@ class Capture:
         return self.place, len(self.yaws) - 1, reason
 
 
+def frames_of(capture: Capture, scan: int, samples: pd.DataFrame) -> pd.DataFrame:
+    """The keyframes that further samples of a scan give."""
+    out = []
+    for r in samples.sort_values("t", kind="stable").itertuples(index=False):
+        taken = capture.add(float(r.t), float(r.yaw), float(r.x), float(r.y), bool(r.tracked), bool(r.busy))
+        if taken:
+            out.append((scan, float(r.t), taken[0], taken[1], float(r.yaw), taken[2]))
+    return pd.DataFrame(out, columns=["scan", "t", "place", "step", "yaw", "reason"])
+
+
 def keyframes(samples: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(scan, t, place, step, yaw, reason) of each keyframe taken, and of those refused while the last one was busy.
 
@@ -89,12 +102,23 @@ def keyframes(samples: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         capture = Capture(rule, *state.get) if state.exists else Capture(rule)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("t", kind="stable").itertuples(index=False):
-            taken = capture.add(float(r.t), float(r.yaw), float(r.x), float(r.y), bool(r.tracked), bool(r.busy))
-            if taken:
-                out.append((key[0], float(r.t), taken[0], taken[1], float(r.yaw), taken[2]))
+        out = frames_of(capture, key[0], pd.concat(list(batches)))
         state.update((capture.place, *map(float, capture.origin), capture.yaws, capture.recent))
-        yield pd.DataFrame(out, columns=["scan", "t", "place", "step", "yaw", "reason"])
+        yield out
 
     return samples.groupBy("scan").applyInPandasWithState(step, OUT, KEPT, "append", GroupStateTimeout.NoTimeout)
+
+
+def replayed(samples: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The keyframes of all scans of a table: what the stream comes to, in one pass."""
+    return samples.groupBy("scan").applyInPandas(lambda key, group: frames_of(Capture(rule), key[0], group), OUT)
+
+
+def q_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as samples of heads: a session is a scan, its number k a direction, its value a place; a step is a tenth of a second."""
+    samples = log(spark, sf_dir).select(F.col("session").alias("scan"), (F.col("seq") / 10).alias("t"), (F.floor(F.col("seq") / 8) * 35 % 360).cast("double").alias("yaw"), (F.floor(F.col("seq") / 40) * 1.6).alias("x"), F.lit(0.0).alias("y"), (F.coalesce("value", F.lit(0.0)) < 95).alias("tracked"), (F.col("ev") == "purchase").alias("busy"))
+    return replayed(samples)
+
+
+QUERIES = {"keyframes_replayed": q_keyframes}
+SQL: dict[str, str] = {}

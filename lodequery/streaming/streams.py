@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..binding import LOG, log
+
 
 def seconds(events: DataFrame, late: str = "10 seconds", line: float = 50.0) -> DataFrame:
     """Tumbling seconds of each session by event time: rows, the maximum and those over the line; later rows than ``late`` are not counted."""
@@ -78,3 +80,22 @@ def associated(frames: DataFrame, reach: float = 0.8, merge: float = 0.2, least:
     out = "scan bigint, index int, category string, x double, y double, z double, seen int, confirmed boolean"
     kept = "objects array<struct<category:string,x:double,y:double,z:double,seen:int,frame:int>>"
     return frames.groupBy("scan").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def q_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's seconds over the whole log at once."""
+    return seconds(log(spark, sf_dir)).select("session", F.unix_micros("window.start").alias("second_us"), "n", "highest", "n_over")
+
+
+def q_diverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of a diversion of the log by its number k: what goes on, and what is set aside with its fate."""
+    kept, aside = diverted(log(spark, sf_dir), "k", 3)
+    both = kept.withColumn("fate", F.lit("kept")).unionByName(aside)
+    return both.groupBy("session", "fate").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+
+
+QUERIES = {"stream_seconds": q_seconds, "stream_diverted": q_diverted}
+SQL = {
+    "stream_seconds": f"WITH {LOG} SELECT session, utc_us - utc_us % 1000000 AS second_us, count(*) AS n, max(value) AS highest, count(*) FILTER (value > 50) AS n_over FROM log GROUP BY ALL",
+    "stream_diverted": f"WITH {LOG} SELECT session, CASE WHEN k = 3 THEN 'kept' ELSE 'tracking_reset' END AS fate, count(*) AS n, sum(seq)::BIGINT AS seqs FROM log WHERE k IS NOT NULL GROUP BY ALL",
+}

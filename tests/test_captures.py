@@ -47,4 +47,6 @@ def test_stream_equals_one_pass(spark, tmp_path):
         query = stream.writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
         query.awaitTermination(120)
     assert {s: [(r.t, r.place, r.step, r.reason) for r in got if r.scan == s] for s in once} == once
+    whole = captures.replayed(spark.createDataFrame([r for r in rows if r[1] < 30], schema).repartition(3)).orderBy("scan", "t").collect()
+    assert {s: [(r.t, r.place, r.step, r.reason) for r in whole if r.scan == s] for s in once} == once
     assert {r.reason for r in got} == {"place", "direction", "refused"}
