@@ -40,3 +40,21 @@ def test_stages(spark, sf_dir, tmp_path):
     model = bpe.Speculator(bpe.default_path())
     want = Counter((r.doc_id, ids) for r, (ids, _) in zip(kept["mixing"], model.encode_batch([r.text or "" for r in kept["mixing"]])))
     assert Counter((r.doc_id, " ".join(map(str, r.ids))) for r in kept["bpe"]) == want
+
+
+def test_nulls_repeats_and_nothing(spark, tmp_path, rows):
+    """Null ids, texts and sources, repeated rows and odd texts go through all stages; an empty table comes out empty."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    marks = spark.createDataFrame([(1, 1, 1), (None, None, None), (9, 0, 0), (9, 0, 0)], "doc_id bigint, quality int, toxic int")
+    for name, given in (("some", [r[:5] for r in rows]), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        marks.write.parquet(f"{folder}/labels.parquet")
+        docs = spark.createDataFrame(given, schema)
+        for stage, function in corpus_pipeline.STAGES:
+            function(spark, docs, folder).write.parquet(f"{folder}/{stage}")
+            docs = spark.read.parquet(f"{folder}/{stage}")
+            assert stage == "bpe" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            if stage == "exact_dedup":
+                lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+                assert docs.count() == len({(r[1] or "").translate(lower) for r in given})
+        assert (docs.count() > 0) == bool(given)
