@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, durable, join_small, join_unique, name, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: Levels that are taken one by one before steps follow the branching: that needs more jobs a level, and most paths end before.
+SHALLOW = 6
 MANY, SUPPORT, PRIOR, Z = 8, 4, 5.0, 1.96
 
 
@@ -100,17 +102,23 @@ def templates(rows: DataFrame) -> DataFrame:
     rows = rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("long"))
     segments = F.split("path", "/", -1)
     active = durable(rows.withColumn("node", F.lit("")).withColumn("rest", F.slice(segments, F.lit(2), F.size(segments))))
-    columns, done = active.columns, []
+    columns, done, level = active.columns, [], 0
     while True:
         done.append(active.filter(F.size("rest") == 0))
         going = active.filter(F.size("rest") > 0)
-        nodes = durable(going.groupBy("node").agg(F.sum("n").alias("n"), F.max("rest").alias("way")).filter(F.col("n") >= MANY).withColumn("crowded", F.lit(True)))
+        deep = level >= SHALLOW
+        sums = [F.sum("n").alias("n"), *([F.max("rest").alias("way")] if deep else [])]
+        nodes = durable(going.groupBy("node").agg(*sums).filter(F.col("n") >= MANY).withColumn("crowded", F.lit(True)))
         marked = join_small(going, nodes.select("node", "crowded"), ["node"], "left")
         done.append(marked.filter("crowded is null").withColumn("node", F.concat_ws("/", "node", F.array_join("rest", "/"))).select(*columns))
         if nodes.isEmpty():
             break
-        parted, moved = ahead(marked.filter("crowded").drop("crowded"), nodes)
-        active = durable(branched(parted).select(*columns).unionByName(moved.select(*columns)))
+        parted, moved = marked.filter("crowded").drop("crowded"), None
+        if deep:
+            parted, moved = ahead(parted, nodes)
+        stepped = branched(parted).select(*columns)
+        active = durable(stepped if moved is None else stepped.unionByName(moved.select(*columns)))
+        level += 1
     every = durable(reduce(DataFrame.unionByName, [part.select(*columns) for part in done]))
     return every.drop("rest").withColumnRenamed("node", "template").withColumn("parent", F.regexp_replace("template", r"/[^/]*\z", ""))
 
