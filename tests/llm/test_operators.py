@@ -67,6 +67,38 @@ def test_labels_keep_their_share_if_ids_repeat(spark):
     assert got == Counter({label: 100 for i, label in ((1, 0), (2, 1)) if i in open_})
 
 
+def test_toxicity_learns_from_every_row_whole(spark):
+    """Each open label row counts, with the end of a long text: the last words of 20,000 characters tell the label here."""
+    made = [(i, ("calm sea " * 2_300 if i % 3 else "still air ") + ("nasty" if i % 2 else "kind")) for i in range(150)]
+    data = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in made] + [(5, 0), (5, 1), (None, 1)], "doc_id bigint, toxic int")
+    network = toxicity.fit(data, marks)
+    got = {r.doc_id: r.predicted for r in toxicity.judge(data, network).collect()}
+    assert got == {i: i % 2 for i in got}
+    rows = toxicity.labelled(data, marks, "doc_id", "text")
+    want = defaultdict(lambda: [0, 0])
+    for i, text in made:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            own = [i % 2] + [0, 1] * (i == 5)
+            for b in {b for w in text.split() for b in toxicity.buckets_of(w)}:
+                want[b][0] += len(own)
+                want[b][1] += sum(own)
+    assert {r.bucket: [r.met, r.bad] for r in toxicity.evidence(rows).collect()} == want
+
+
+def test_lines_against_every_cut():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 30, 400):
+        z = -np.sort(-rng.choice(4000, n, replace=False)) / toxicity.STEPS
+        bad, clean = rng.integers(0, 3, n), rng.integers(0, 4, n)
+        cuts = [2 * bad[: k + 1].sum() / max(1, (bad + clean)[: k + 1].sum() + bad.sum()) for k in range(n)]
+        line = toxicity.best_line(z, bad, clean)
+        if bad.sum():
+            assert 2 * bad[z >= line].sum() / ((bad + clean)[z >= line].sum() + bad.sum()) == pytest.approx(max(cuts))
+        line = toxicity.guarded_line(z, bad, clean)
+        assert clean[z >= line].sum() <= toxicity.MOST_CLEAN * clean.sum()
+
+
 def test_pooling_against_plain_windows():
     network, rng = toxicity.Network(2), random.Random(4)
     network.shift += 0.01
