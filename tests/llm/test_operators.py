@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodequery.llm import bpe, exact_dedup, fingerprints, fm_index, mixing, pii, queries, shards, simhash, substring_dedup, toxicity, url_filter
+from lodequery.llm import bpe, components, exact_dedup, fingerprints, fm_index, mixing, pii, queries, shards, simhash, substring_dedup, toxicity, url_filter
 from lodequery.llm.components import connected_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -149,6 +149,16 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_few_links_are_not_shuffled_and_many_give_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 180)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    links = spark.createDataFrame(pairs, "a bigint, b bigint")
+    few = connected_components(links)
+    assert few.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(components, "SMALL_LINKS", 10)
+    assert bag(few, "node", "root") == bag(connected_components(links), "node", "root")
+
+
 def closure(prints, distance=2):
     label = {p: p for p in prints}
     changed = True
