@@ -23,7 +23,6 @@ row that repeats an id counts. Without labels of both kinds all scores are 0 and
 from __future__ import annotations
 
 import copy
-import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -32,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +45,7 @@ PASSES, ENOUGH = 4, 20_000
 TASK_ROWS = 4_000  # rows that a task descends on, at least
 STEPS, FAR = 1 << 10, 64  # outputs are counted in steps of 1 / STEPS up to FAR
 LINE = 0.7
+PIECES = 16  # tasks, at most, that send a network's rows to the driver
 MOST_CLEAN = 0.02  # of the clean rows held back, at most this share may pass the line
 CACHE_WORDS = 250_000
 CHANNELS = sum(WIDTHS) * FILTERS
@@ -131,10 +132,6 @@ class Network:
             where[group * FILTERS : (group + 1) * FILTERS] = np.where(on, at, -1)
         return top, where
 
-    def start(self, met: np.ndarray, bad: np.ndarray, share: float) -> None:
-        """Set the first axis to the evidence: of ``met`` documents with a bucket, ``bad`` are toxic."""
-        self.embed[:, 0] = np.clip((bad - met * share) / np.sqrt(met * share * (1 - share) + 2), -6, 6)
-
     def state(self) -> np.ndarray:
         """All that is trained, in rows of DIM: the embeddings, then the rest."""
         rest = np.concatenate([self.filters.ravel(), self.shift, self.out, [self.bias]])
@@ -349,9 +346,8 @@ def evidence(rows: DataFrame) -> DataFrame:
     return made.groupBy("bucket").agg(F.sum("met").alias("met"), F.sum("bad").alias("bad"))
 
 
-def moved(rows: DataFrame, network: Network, share: float) -> DataFrame:
+def moved(rows: DataFrame, shared: Broadcast, share: float) -> DataFrame:
     """(at, d0, ...): how far the tasks moved each row of the network's state, in the mean of those that moved it."""
-    shared = rows.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         descent, n, before = Descent(copy.deepcopy(shared.value), share), 0, shared.value.state()
@@ -367,19 +363,49 @@ def moved(rows: DataFrame, network: Network, share: float) -> DataFrame:
     return made.groupBy("at").agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in columns])
 
 
-def united(parts: DataFrame, network: Network, put: Callable[[Network, pd.DataFrame], None]) -> Network:
-    """The network that ``put`` makes of one row a bucket, in one task; the driver gets the network only."""
-    shared = parts.sparkSession.sparkContext.broadcast(network)
+def gathered(parts: DataFrame, pieces: Callable[[Iterator[pd.DataFrame]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where and what ``pieces`` makes of each batch of ``parts``, in tasks; the driver gets a piece for each batch.
+
+    A whole network as one object is copied several times on its way; a burst of those makes the driver's heap grow.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = list(batches)
-        if rows:
-            after = copy.deepcopy(shared.value)
-            put(after, pd.concat(rows, ignore_index=True))
-            yield pd.DataFrame({"network": [pickle.dumps(after)]})
+        for at, value in pieces(batches):
+            if len(at):
+                yield pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "value": [value.astype(np.float32).tobytes()]})
+
+    for row in map_batches(parts.coalesce(PIECES), run, "at binary, value binary").collect():
+        yield np.frombuffer(row["at"], np.int32), np.frombuffer(row["value"], np.float32)
 
-    made = map_batches(parts.repartition(1), run, "network binary").collect()
-    return pickle.loads(made[0]["network"]) if made else network
+
+def begin(rows: DataFrame, network: Network, share: float) -> None:
+    """Set the network's first axis to the evidence of ``rows``."""
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in batches:
+            met, bad = part["met"].to_numpy(), part["bad"].to_numpy()
+            yield part["bucket"].to_numpy(), np.clip((bad - met * share) / np.sqrt(met * share * (1 - share) + 2), -6, 6)
+
+    network.embed[:, 0] = 0
+    for at, value in gathered(evidence(rows), pieces):
+        network.embed[at, 0] = value
+
+
+def descend(rows: DataFrame, network: Network, share: float) -> None:
+    """One pass over ``rows``: the network becomes the mean of the tasks' networks."""
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        before = shared.value.state()
+        for part in batches:
+            at = part["at"].to_numpy()
+            yield at, before[at] + part[[f"d{k}" for k in range(DIM)]].to_numpy()
+
+    state = network.state()
+    for at, value in gathered(moved(rows, shared, share), pieces):
+        state[at] = value.reshape(-1, DIM)
+    network.put(state)
+    shared.destroy()
 
 
 def calibrated(rows: DataFrame, network: Network) -> Network:
@@ -404,7 +430,9 @@ def calibrated(rows: DataFrame, network: Network) -> Network:
         return pd.DataFrame({"lang": own["lang"].iloc[: len(lines)], "line": lines})
 
     sums = [F.sum(c).alias(c) for c in ("bad", "clean")]
-    counts = durable(map_batches(rows.select("text", "lang", "bad", "clean"), outputs, "lang string, bad double, clean double, z double").groupBy("lang", "z").agg(*sums))
+    made = map_batches(rows.select("text", "lang", "bad", "clean"), outputs, "lang string, bad double, clean double, z double")
+    counts = durable(made.groupBy("lang", "z").agg(*sums).coalesce(PIECES))  # at most one row for each step and language
+    shared.destroy()
     network.line, network.slope = map_batches(counts.groupBy("z").agg(*sums).repartition(1), common, "line double, slope double").first()
     network.by_lang = {r.lang: r.line for r in counts.filter("lang is not null").groupBy("lang").applyInPandas(of_lang, "lang string, line double").collect()}
     return network
@@ -422,21 +450,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if own is None or not own.bad or not own.clean:
             return network
         share = own.bad / (own.bad + own.clean)
-
-        def begin(net: Network, parts: pd.DataFrame) -> None:
-            met, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-            met[parts["bucket"]], bad[parts["bucket"]] = parts["met"], parts["bad"]
-            net.start(met, bad, share)
-
-        def move(net: Network, parts: pd.DataFrame) -> None:
-            state = net.state()
-            state[parts["at"]] += parts[[f"d{k}" for k in range(DIM)]].to_numpy()
-            net.put(state)
-
         learn = rows.filter("not back").coalesce(max(1, own.n // TASK_ROWS))
-        network = united(evidence(learn), network, begin)
+        begin(learn, network, share)
         for _ in range(min(PASSES, max(1, -(-ENOUGH // own.n)))):
-            network = united(moved(learn, network, share), network, move)
+            descend(learn, network, share)
         network.trained = True
         return calibrated(rows.filter("back") if held and held.bad and held.clean else rows, network)
     finally:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -86,6 +87,25 @@ def test_toxicity_learns_from_every_row_whole(spark):
     assert {r.bucket: [r.met, r.bad] for r in toxicity.evidence(rows).collect()} == want
 
 
+def test_toxicity_sends_the_driver_small_pieces(spark, monkeypatch):
+    """A network of 4 MB as one value, and one kept for each pass, made the driver's heap grow."""
+    made = [(i, ("still air " if i % 3 else "calm sea ") + ("nasty" if i % 2 else "kind")) for i in range(300)]
+    data, marks = spark.createDataFrame(made, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i, _ in made], "doc_id bigint, toxic int")
+    frame, context, sizes, sent = type(data), type(spark.sparkContext), [], []
+    collect, broadcast = frame.collect, context.broadcast
+
+    def collected(self):
+        rows = collect(self)
+        sizes.extend(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", collected)
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+    assert toxicity.fit(data, marks).trained
+    assert sizes and max(sizes) < 1 << 17
+    assert len(sent) <= toxicity.PASSES + 1 and not any(os.path.exists(b._path) for b in sent)
+
+
 def test_lines_against_every_cut():
     rng = np.random.default_rng(8)
     for n in (1, 2, 30, 400):
