@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodequery.operators import relations, tiles
+from lodequery.operators import oriented, relations, tiles, turned
 
 
 @pytest.fixture(scope="module")
@@ -25,15 +25,25 @@ def rows_of(df):
     return sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
 
 
-def no_join_of_pairs(df, key):
-    """No join of the plan has only ``key`` as its condition on both sides' own rows."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return f"{key}#" not in "".join(line for line in plan.split("\n") if "Join" in line and "_tiles" not in line and line.count("=") == 1 and "object_id" in line)
-
-
 def test_between_counts_without_triples(spark, things, monkeypatch):
     monkeypatch.setattr(tiles, "CELLS", 40)
     monkeypatch.setattr(relations, "BETWEEN_TARGETS", 4)
     want = relations.state_counts(relations.between_rows(things), "scene_id", "target_id")
     assert rows_of(relations.between_counts(things)) == rows_of(want)
-    assert relations.between_counts(things.limit(0)).count() == 0
+    plan = relations.between_counts(things)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and relations.between_counts(things.limit(0)).count() == 0  # rows and columns with the number of tiles, and no pairs
+
+
+def test_turned_between_without_triples(spark, things, monkeypatch):
+    monkeypatch.setattr(tiles, "CELLS", 40)
+    monkeypatch.setattr(oriented, "BETWEEN_TARGETS", 4)
+    spun = things.select("*", F.lit(0.1).alias("qx"), (F.col("object_id") % 7 / 7.0).alias("qy"), F.lit(0.3).alias("qz"), F.lit(1.0).alias("qw"))
+    shapes = oriented.shaped(turned.turned(spun)).cache()
+    rows = oriented.between(shapes)
+    want = rows.groupBy("scene_id", "first_id", "state").agg(F.count(F.lit(1)).alias("n"), F.sum("target_id").alias("targets"), F.sum("second_id").alias("seconds"))
+    assert rows_of(oriented.between_totals(shapes)) == rows_of(want) and {r.state for r in want.collect()} == {"T", "U"}
+    many = oriented.shaped(turned.turned(spun.filter("cx is not null").crossJoin(spark.range(3).toDF("k")).withColumn("object_id", F.col("object_id") + 100 * F.col("k")).withColumn("scene_id", F.lit(0).cast("bigint")))).cache()
+    found = oriented.between(many).filter("state = 'U'").agg(F.count(F.lit(1)), F.sum("target_id"), F.sum("second_id")).first()
+    assert tuple(found) == tuple(oriented.between_totals(many).filter("state = 'U'").agg(F.sum("n"), F.sum("targets"), F.sum("seconds")).first())  # 198 objects, so more than a byte counts
+    plan = oriented.between_totals(shapes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and oriented.between(shapes.limit(0)).count() == 0  # rows and columns with the number of tiles, and no pairs
