@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodequery.operators import oriented, relations, tiles, turned
+from lodequery.functions import geometry, truth
+from lodequery.operators import encoding, oriented, ranking, relations, tiles, turned
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,47 @@ def test_turned_between_without_triples(spark, things, monkeypatch):
     assert tuple(found) == tuple(oriented.between_totals(many).filter("state = 'U'").agg(F.sum("n"), F.sum("targets"), F.sum("seconds")).first())  # 198 objects, so more than a byte counts
     plan = oriented.between_totals(shapes)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2 and oriented.between(shapes.limit(0)).count() == 0  # rows and columns with the number of tiles, and no pairs
+
+
+def test_directions_without_pairs(spark, things, monkeypatch):
+    monkeypatch.setattr(tiles, "CELLS", 40)
+    want = relations.state_counts(relations.direction_rows(things), "scene_id", "frame", "relation", "anchor_id")
+    assert rows_of(relations.direction_counts(things)) == rows_of(want) and relations.direction_counts(things.limit(0)).count() == 0
+
+
+def test_matrix_without_pairs(spark, things, monkeypatch):
+    monkeypatch.setattr(tiles, "CELLS", 40)
+    cells = relations.relation_rows(things).withColumn("cell", F.when(F.col("target_id") == F.col("anchor_id"), "-").otherwise(F.col("state")))
+    want = cells.groupBy("scene_id", "relation", "target_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("anchor_id", "cell"))), lambda c: c["cell"]), "").alias("states"))
+    assert rows_of(relations.matrix_rows(things)) == rows_of(want) and relations.matrix_rows(things.limit(0)).count() == 0
+
+
+def test_a_scene_is_paired_in_tiles(spark, things, monkeypatch):
+    monkeypatch.setattr(tiles, "ROWS", 4)
+    df = relations.pairs(things)
+    assert df.rdd.getNumPartitions() > 10 and "ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.select(F.countDistinct(F.struct("t.scene_id", "t.object_id", "a.object_id"))).first()[0] == df.count() == 3 * 25 * 25 + 1
+
+
+def test_blocks_without_pairs(spark, things, monkeypatch):
+    monkeypatch.setattr(tiles, "CELLS", 40)
+    cells = relations.pairs(things, F.col("t.object_id") != F.col("a.object_id")).select(F.col("t.scene_id").alias("scene_id"), F.col("t.object_id").alias("row_id"), F.col("a.object_id").alias("column_id"), truth.spelled(truth.at_most(geometry.centre_distance(), 2.0, 0.02)).alias("state"))
+    assert rows_of(encoding.near_blocks(things)) == rows_of(encoding.blocks(cells, ["scene_id"], "row_id", "column_id", "state"))
+    assert rows_of(encoding.near_blocks(things, back=True)) == rows_of(cells)
+
+
+@pytest.mark.parametrize("k,farthest", [(1, False), (2, False), (5, False), (1, True)])
+def test_ranks_without_pairs(spark, things, monkeypatch, k, farthest):
+    monkeypatch.setattr(tiles, "CELLS", 40)
+    known = things.withColumns({f"c{s}": F.when(F.col("scene_id") > 0, F.coalesce(f"c{s}", F.lit(0.5))).otherwise(F.col(f"c{s}")) for s in "xyz"})
+    want = ranking.ranked(ranking.candidate_rows(known, "chair"), ["scene_id", "anchor_id"], k, farthest)
+    assert rows_of(ranking.ranked_near(known, "chair", k, farthest)) == rows_of(want) and want.select("status").distinct().count() >= 2
+
+
+def test_uncertain_closest_without_memberships(spark, things, monkeypatch):
+    monkeypatch.setattr(tiles, "CELLS", 40)
+    known = things.withColumns({f"c{s}": F.when(F.col("scene_id") > 0, F.coalesce(f"c{s}", F.lit(0.5))).otherwise(F.col(f"c{s}")) for s in "xyz"})
+    for limit, red in ((12, "colour = 'red' and object_id % 2 = 0"), (1, "colour = 'red'"), (12, "object_id < 20")):
+        monkeypatch.setattr(ranking, "SUBSET_LIMIT", limit)
+        rows = ranking.candidate_rows(known, "chair").join(known.select(F.col("object_id").alias("candidate_id"), F.expr(red).alias("possible")), "candidate_id")
+        assert rows_of(ranking.nearest_uncertain(known, "chair", F.expr(red))) == rows_of(ranking.ranked_uncertain(rows, ["scene_id", "anchor_id"]))
